@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
-from . import langid
+from . import decontam, htmltext, langid, mixing, pii, simhash, urlfilter
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
+    "op2_decontaminate": decontam.op2_decontaminate,
+    "op4_simhash": simhash.op4_simhash,
+    "op5_mixing": mixing.op5_mixing,
+    "op6_html": htmltext.op6_html,
+    "op8_pii": pii.op8_pii,
+    "op10_url_filter": urlfilter.op10_url_filter,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_decontaminate": decontam.OP2_SQL,
+    "op5_mixing": mixing.OP5_SQL,
+    "op10_url_filter": urlfilter.OP10_SQL,
+}
