@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontam, htmltext, langid, mixing, pii, simhash, urlfilter
+from . import ann, crossparse, decontam, htmltext, langid, mixing, pii, quality, simhash, urlfilter
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
     "op2_decontaminate": decontam.op2_decontaminate,
+    "op3_ann": ann.op3_ann,
     "op4_simhash": simhash.op4_simhash,
     "op5_mixing": mixing.op5_mixing,
     "op6_html": htmltext.op6_html,
+    "op7_quality": quality.op7_quality,
     "op8_pii": pii.op8_pii,
+    "op9_crossparse": crossparse.op9_crossparse,
     "op10_url_filter": urlfilter.op10_url_filter,
 }
 
