@@ -1 +1 @@
-
+"""Shapes, randomness, gather maps, matrices and numpy kernels."""

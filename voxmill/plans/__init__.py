@@ -1 +1 @@
-
+"""Plan rules and the loader."""
