@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -128,17 +129,24 @@ def elementwise(s: Samples, key: str, fn: Callable[..., Column]) -> Samples:
     return with_values(s, key, F.transform(x, fn))
 
 
+def _swapped(fn: Callable, c: int, v: Column) -> Column:
+    return fn(v, c)
+
+
 def per_channel(s: Samples, key: str, fn: Callable[[Column, int], Column]) -> Samples:
     """fn(values of a channel, its number) for each channel, put together again."""
     spec = s.spec(key)
     n = spec.size // spec.channels
     x = F.col(key).cast("array<double>")
-    parts = [fn(F.slice(x, c * n + 1, n), c) for c in range(spec.channels)]
+    parts = [bound(F.slice(x, c * n + 1, n), partial(_swapped, fn, c)) for c in range(spec.channels)]
     return s.with_column(key, parts[0] if len(parts) == 1 else F.concat(*parts), spec)
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), value being evaluated once for all its uses inside lambdas."""
+    """use(value), value being evaluated once for all its uses inside lambdas.
+
+    It also keeps a Python function that makes the value out of the lambda, where it couldn't run.
+    """
     return F.transform(F.array(value), use)[0]
 
 
@@ -152,7 +160,7 @@ def gather(s: Samples, key: str, index: np.ndarray) -> Samples:
     spec = TensorSpec(index.shape)
     if index.size <= MAP_LITERALS:
         x, flat = F.col(key), F.array(*[F.lit(int(i)) for i in index.ravel()])
-        out = F.when(x.isNotNull(), F.transform(flat, lambda i: F.get(x, i)))
+        out = F.when(x.isNotNull(), bound(x, lambda v: F.transform(flat, lambda i: F.get(v, i))))
         return s.with_column(key, out, spec)
     return kernel(s, key, lambda x: x.reshape(len(x), -1)[:, index.ravel()].reshape(len(x), *index.shape), spec)
 
@@ -199,27 +207,19 @@ def kernel(s: Samples, key: str, fn: Callable[..., np.ndarray], out: TensorSpec,
             return pa.nulls(len(x), pa.list_(pa.float64()))
         return to_list_array(np.asarray(fn(data, *given), float), valid)
 
-    # not deterministic to the optimiser: it would else move the call into lambdas, where it can't run
-    udf = F.arrow_udf(_typed(run, len(params)), kind).asNondeterministic()
-    return s.with_column(key, udf(F.col(key), *params), out)
-
-
-def _typed(run: Callable, n: int) -> Callable:
-    """run with a signature of n + 1 annotated arguments, as Spark infers the kind of function from it."""
-    if n == 0:
-        def call(x: pa.Array) -> pa.Array:
-            return run(x)
-    elif n == 1:
-        def call(x: pa.Array, a: pa.Array) -> pa.Array:
-            return run(x, a)
-    elif n == 2:
-        def call(x: pa.Array, a: pa.Array, b: pa.Array) -> pa.Array:
-            return run(x, a, b)
-    else:
-        def call(x: pa.Array, a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
-            return run(x, a, b, c)
-    call.__annotations__ = {k: pa.Array for k in [*"xabc"[: min(n, 3) + 1], "return"]}
-    return call
+    names = [f"__p{i}" for i in range(len(params))]
+    df = s.df.withColumns(dict(zip(names, params))) if params else s.df
+    fields = [T.StructField(f.name, kind if f.name == key else f.dataType) for f in s.df.schema.fields]
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            columns[key] = run(columns[key], *[columns.pop(n) for n in names])
+            yield pa.RecordBatch.from_pydict(columns)
+
+    # A node of its own, not a function in a projection: those don't run where the optimiser merges lambdas into their arguments.
+    out_df = df.mapInArrow(over, T.StructType(fields))
+    return replace(s, df=out_df, specs={**s.specs, key: out})
 
 
 class BaseTransform(KeyedTransform):
@@ -243,7 +243,8 @@ class BaseTransform(KeyedTransform):
     def change(self, s, key, op):
         given = self.drawn(s, op)
         if not self.batch:
-            return with_values(s, key, self.augment(values(s, key).cast("array<double>"), **given))
+            x = values(s, key).cast("array<double>")
+            return with_values(s, key, bound(x, lambda v: self.augment(v, **given)))
         names, augment = list(given), self.augment
 
         def run(x: np.ndarray, *columns: np.ndarray) -> np.ndarray:

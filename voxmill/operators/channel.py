@@ -39,7 +39,7 @@ class OneHot(KeyedTransform):
             k = (s.df.agg(F.max(F.array_max(key))).first()[0] or 0) + 1
         to = self.dtype or kind.elementType.simpleString()
         classes = F.sequence(F.lit(0), F.lit(k - 1))
-        hot = F.flatten(F.transform(classes, lambda c: F.transform(F.col(key), lambda e: (e == c).cast(to))))
+        hot = F.flatten(bound(F.col(key), lambda x: F.transform(classes, lambda c: F.transform(x, lambda e: (e == c).cast(to)))))
         return s.with_column(key, hot, TensorSpec((k, *spec.spatial)))
 
 
@@ -70,11 +70,14 @@ class ArgMax(KeyedTransform):
         starts = F.array(*[F.lit(int(i)) for i in index[..., 0].ravel()])
         x = F.col(key)
 
-        def best(start: Column) -> Column:
-            line = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.get(x, start + j * step))
-            return (bound(line, lambda v: F.array_position(v, F.array_max(v))) - 1).cast("long")
+        def all_best(y: Column) -> Column:
+            def best(start: Column) -> Column:
+                line = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.get(y, start + j * step))
+                return (bound(line, lambda v: F.array_position(v, F.array_max(v))) - 1).cast("long")
 
-        return s.with_column(key, F.when(x.isNotNull(), F.transform(starts, best)), out)
+            return F.transform(starts, best)
+
+        return s.with_column(key, F.when(x.isNotNull(), bound(x, all_best)), out)
 
 
 class ToDtype(KeyedTransform):
@@ -195,8 +198,8 @@ class SegToBox(Transform):
             strides = [int(np.prod(spec.spatial[i + 1 :], dtype=int)) for i in range(d)]
             x, size = F.col(key), int(np.prod(spec.spatial, dtype=int))
 
-            def box(i: Column) -> Column:
-                at = F.filter(F.transform(x, lambda e, p: F.when(e == i, p)), lambda p: p.isNotNull())
+            def box(y: Column, i: Column) -> Column:
+                at = F.filter(F.transform(y, lambda e, p: F.when(e == i, p)), lambda p: p.isNotNull())
 
                 def lines(v: Column) -> list[Column]:
                     def line(n: int, t: int) -> Column:
@@ -207,7 +210,8 @@ class SegToBox(Transform):
                 return bound(at, lambda v: F.when(F.size(v) > 0, F.array(*[F.array_min(c) for c in lines(v)], *[F.array_max(c) for c in lines(v)]).cast("array<double>")))
 
             top = F.array_max(x).cast("int")
-            boxes = F.when(top >= 1, F.transform(F.sequence(F.lit(1), top), box)).otherwise(F.array().cast("array<array<double>>"))
+            found = bound(x, lambda y: F.transform(F.sequence(F.lit(1), F.array_max(y).cast("int")), lambda i: box(y, i)))
+            boxes = F.when(top >= 1, found).otherwise(F.array().cast("array<array<double>>"))
             s = s.with_column(to, F.when(x.isNotNull(), boxes))
         return s
 
@@ -227,7 +231,7 @@ class BoxToSeg(Transform):
         for key, to in self.keys.items():
             boxes = F.col(key)
 
-            def pixel(p: Column) -> Column:
+            def pixel(held: Column, p: Column) -> Column:
                 at = [(p / t).cast("int") % n for n, t in zip(self.shape, strides)]
 
                 def over(acc: Column, b: Column) -> Column:
@@ -236,9 +240,10 @@ class BoxToSeg(Transform):
                         inside = inside & (c >= b[i]) & (c <= b[i + d])
                     return F.struct((acc["n"] + 1).alias("n"), F.when(inside, acc["n"] + 1).otherwise(acc["id"]).alias("id"))
 
-                return F.aggregate(boxes, F.struct(F.lit(0).alias("n"), F.lit(0).alias("id")), over, lambda a: a["id"])
+                return F.aggregate(held, F.struct(F.lit(0).alias("n"), F.lit(0).alias("id")), over, lambda a: a["id"])
 
-            seg = F.transform(F.sequence(F.lit(0), F.lit(spec.size - 1)), pixel).cast(f"array<{self.dtype}>")
+            places = F.sequence(F.lit(0), F.lit(spec.size - 1))
+            seg = bound(boxes, lambda held: F.transform(places, lambda p: pixel(held, p))).cast(f"array<{self.dtype}>")
             s = s.with_column(to, F.when(boxes.isNotNull(), seg), spec)
         return s
 
@@ -253,7 +258,11 @@ class InstanceToSemantic(Transform):
         s.need([*self.keys, self.cls_key])
         for key, to in self.keys.items():
             cls = F.col(self.cls_key)
-            look = F.transform(F.col(key), lambda e: F.when(e >= 1, F.coalesce(F.get(cls, e.cast("int") - 1).cast("long"), F.lit(0).cast("long"))).otherwise(0))
+
+            def semantic(c: Column) -> Column:
+                return F.transform(F.col(key), lambda e: F.when(e >= 1, F.coalesce(F.get(c, e.cast("int") - 1).cast("long"), F.lit(0).cast("long"))).otherwise(0))
+
+            look = bound(cls, semantic)
             s = s.with_column(to, look, s.specs.get(key))
         return s
 

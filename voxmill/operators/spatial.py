@@ -13,7 +13,7 @@ from ..functions import gather as maps
 from ..functions import kernels
 from ..functions.rng import AbstractParameter, UniformParameter
 from ..functions.spec import RAGGED, TensorSpec, per_dim
-from .base import KeyedTransform, Samples, constant, elementwise, gather, kernel, sampled
+from .base import KeyedTransform, Samples, bound, constant, elementwise, gather, kernel, sampled
 from .compose import conditionally
 
 
@@ -278,7 +278,7 @@ class RandomCrop(KeyedTransform):
             at = at + F.floor(s.draws(op).column(d) * (n - c - o)).cast("int") * stride
         base = maps.crop(spec, (0,) * spec.ndim, size)
         flat, x = F.array(*[F.lit(int(i)) for i in base.ravel()]), F.col(key)
-        out = F.when(x.isNotNull(), F.transform(flat, lambda i: F.get(x, i + at)))
+        out = F.when(x.isNotNull(), bound(x, lambda v: F.transform(flat, lambda i: F.get(v, i + at))))
         return s.with_column(key, out, TensorSpec(base.shape))
 
 
