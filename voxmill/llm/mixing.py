@@ -79,35 +79,33 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
     return fitted.drop(*[f"__{d}" for d in targets])
 
 
+def features(docs: DataFrame, text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
+    """docs with the columns that mixing reads: mix_source, mix_lang, mix_topic and mix_tokens."""
+    text = F.col(text_col)
+    return docs.withColumns({
+        "mix_source": F.col(source_col), "mix_lang": F.col(lang_col), "mix_topic": topic(text), "mix_tokens": tokens(text),
+    })
+
+
 def mix(
-    docs: DataFrame,
+    d: DataFrame,
     targets: dict[str, dict[str, float]] | None = None,
     temperature: float = TEMPERATURE,
     rounds: int = ROUNDS,
     seed: int = 0,
     id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-    lang_col: str = "lang",
 ) -> DataFrame:
-    """docs with topic, tokens, weight, probability and sampled added.
+    """d, with ``features``, with mix_weight, mix_probability and mix_sampled added.
 
     ``targets`` gives weights by dim and value; a dim that is left out takes the
     corpus shares raised to ``temperature``.  Null sources and languages are
     values of their own.  Documents without a word have weight and probability
-    0.  Equal ids get equal draws; null ids draw as one id.
+    0.  Equal ids get equal draws; null ids draw as one id.  d is read twice:
+    for the cell sums and for the result.
     """
-    columns = docs.columns
-    at = {c: f"c{i}" for i, c in enumerate(columns)}
-    text = F.col(at[text_col])
-    d = docs.toDF(*at.values()).select(
-        "*",
-        F.col(at[source_col]).alias("source"),
-        F.col(at[lang_col]).alias("lang"),
-        topic(text).alias("topic"),
-        tokens(text).alias("tokens"),
-    )
-    cells = cut(d.groupBy(*DIMS).agg(F.sum("tokens").alias("tokens")))
+    columns = d.columns
+    named = [F.col(f"mix_{c}").alias(c) for c in DIMS]
+    cells = cut(d.select(*named, F.col("mix_tokens").alias("tokens")).groupBy(*DIMS).agg(F.sum("tokens").alias("tokens")))
     wanted = {}
     for dim in DIMS:
         given = (targets or {}).get(dim)
@@ -115,8 +113,8 @@ def mix(
             wanted[dim] = cut(tempered(cells, dim, temperature))
         else:
             total = sum(given.values())
-            rows = [(k, v / total) for k, v in given.items()]
-            wanted[dim] = d.sparkSession.createDataFrame(rows, f"{dim} string, target double")
+            shares = [(k, v / total) for k, v in given.items()]
+            wanted[dim] = d.sparkSession.createDataFrame(shares, f"{dim} string, target double")
     fitted = rake(cells, wanted, rounds)
     rated = fitted.withColumn("rate", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0))
     most = rated.agg(F.max("rate").alias("most"))
@@ -125,26 +123,27 @@ def mix(
         "rate",
         F.when(F.col("most") > 0, F.col("rate") / F.col("most")).otherwise(0.0).alias("p"),
     )
-    match = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in DIMS]
+    match = [F.col(f"mix_{c}").eqNullSafe(F.col(f"__{c}")) for c in DIMS]
     out = d.join(small(cut(rated)), match[0] & match[1] & match[2], "left")
-    u = unit_hash(F.lit(seed), F.col(at[id_col]))
-    own = F.col("tokens") > 0
+    own = F.col("mix_tokens") > 0
+    u = unit_hash(F.lit(seed), F.col(id_col))
     return out.select(
-        *[F.col(at[c]).alias(c) for c in columns],
-        F.col("topic").alias("mix_topic"),
-        F.col("tokens").cast("long").alias("mix_tokens"),
-        F.when(own, F.col("rate") * F.col("tokens")).otherwise(0.0).alias("mix_weight"),
+        *columns,
+        F.when(own, F.col("rate") * F.col("mix_tokens")).otherwise(0.0).alias("mix_weight"),
         F.when(own, F.col("p")).otherwise(0.0).alias("mix_probability"),
         (own & (u < F.col("p"))).alias("mix_sampled"),
     )
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its fitted weight, probability and whether it is sampled."""
+    """Every document with its fitted weight, probability and whether it is sampled.
+
+    Texts are read once, for their features, which are small and kept.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    out = mix(docs)
+    out = mix(cut(features(docs).drop("text")))
     return out.select(
-        "doc_id", "source", "lang", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("tokens"),
+        "doc_id", "source", "lang", F.col("mix_topic").alias("topic"), F.col("mix_tokens").cast("long").alias("tokens"),
         F.round("mix_probability", 6).alias("probability"), F.col("mix_sampled").alias("sampled"),
     )
 
@@ -192,4 +191,9 @@ OP5_SQL = _op5_sql()
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sampled documents, with topic, tokens, weight and probability."""
-    return mix(docs).where("mix_sampled").drop("mix_sampled")
+    columns = docs.columns
+    at = {c: f"c{i}" for i, c in enumerate(columns)}
+    d = features(docs.toDF(*at.values()), at["text"], at["source"], at["lang"])
+    out = mix(d, id_col=at["doc_id"]).where("mix_sampled")
+    extra = [c for c in ("mix_topic", "mix_tokens", "mix_weight", "mix_probability") if c not in columns]
+    return out.select(*[F.col(at[c]).alias(c) for c in columns], *extra)
