@@ -87,8 +87,8 @@ def revert_coordinate_order(m: Matrix) -> Matrix:
     Rows but a homogeneous last one, and columns but the last, are reversed.
     """
     d = len(m[0]) - 1
-    rows = [list(reversed(r[:d])) + [r[d]] for r in m]
-    return list(reversed(rows[:d])) + rows[d:]
+    rows = [list(reversed(r[:d])) + [r[d]] for r in m[:d]]
+    return rows[::-1] + [list(r) for r in m[d:]]
 
 
 def orthogonal_inverse(m: Matrix) -> Matrix:

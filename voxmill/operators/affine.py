@@ -6,14 +6,14 @@ import warnings
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions import matrix as mx
 from ..functions.rng import AbstractParameter, as_parameter
 from ..functions.spec import RAGGED, TensorSpec, per_dim
-from .base import KeyedTransform, Samples, kernel, sampled
+from .base import KeyedTransform, Samples, kernel, over_batch, sampled
 
 
 class Affine(KeyedTransform):
@@ -80,17 +80,17 @@ class Affine(KeyedTransform):
         for i in range(d):
             moved = [sum((t[i][j] * float(p[j]) for j in range(d)), F.lit(0.0)) + t[i][d] for p in box]
             spans.append(F.greatest(*moved) - F.least(*moved))
-        w = Window.partitionBy(s.batch_col) if s.batch_col else Window.partitionBy(F.lit(0))
-        size = F.array(*[F.greatest(F.floor(F.max(x).over(w) + 1e-4), F.lit(1)).cast("double") for x in spans])
         mode, padding, align = self.mode, self.padding, self.align
-        s = s.with_df(s.df.withColumn("__size", size))
+        names = [f"__extent{i}" for i in range(d)]
+        s = over_batch(s, **{n: F.max(x) for n, x in zip(names, spans)})
+        size = F.array(*[F.greatest(F.floor(F.col(n) + 1e-4), F.lit(1)).cast("double") for n in names])
 
         def run(x: np.ndarray, t: np.ndarray, n: np.ndarray) -> np.ndarray:
             grid = kernels.affine_grid(t.reshape(len(t), d, d + 1), [int(k) for k in n[0]], align)
             return kernels.grid_sample(x, grid, mode, padding, align)
 
-        out = kernel(s, key, run, RAGGED, theta, F.col("__size"))
-        return out.with_df(out.df.drop("__size"))
+        out = kernel(s, key, run, RAGGED, theta, size)
+        return out.with_df(out.df.drop(*names))
 
     def __add__(self, other) -> StackedAffine:
         return StackedAffine(self, other if isinstance(other, Affine) else Affine(other), **self.options())

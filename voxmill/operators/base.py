@@ -9,7 +9,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -150,6 +150,19 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def over_batch(s: Samples, **facts: Column) -> Samples:
+    """Adds aggregates over each sample's batch as columns.
+
+    Without batches all samples are one: the aggregates are then taken by a
+    small job, as a window would bring all samples to one task.
+    """
+    if s.batch_col:
+        w = Window.partitionBy(s.batch_col)
+        return s.with_df(s.df.withColumns({k: c.over(w) for k, c in facts.items()}))
+    row = s.df.agg(*[c.alias(k) for k, c in facts.items()]).first()
+    return s.with_df(s.df.withColumns({k: F.lit(row[k]) for k in facts}))
+
+
 #: Maps beyond this size go to the Arrow kernel, as their literals would swell the plan.
 MAP_LITERALS = 4096
 _RAGGED_TYPE = T.StructType([T.StructField("shape", T.ArrayType(T.IntegerType())), T.StructField("data", T.ArrayType(T.DoubleType()))])
@@ -315,5 +328,5 @@ class BatchTransform(Transform):
 
 __all__ = [
     "RAGGED", "AbstractTransform", "BaseTransform", "BaseTransformSeeded", "BatchTransform", "KeyedTransform", "PerChannelTransform",
-    "PerSampleTransform", "Samples", "Transform", "UDFTransform", "bound", "constant", "elementwise", "gather", "kernel", "per_channel", "sampled", "values", "with_values",
+    "PerSampleTransform", "Samples", "Transform", "UDFTransform", "bound", "constant", "elementwise", "gather", "kernel", "over_batch", "per_channel", "sampled", "values", "with_values",
 ]

@@ -6,14 +6,13 @@ import itertools
 from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import gather as maps
 from ..functions import kernels
 from ..functions.rng import AbstractParameter, UniformParameter
 from ..functions.spec import RAGGED, TensorSpec, per_dim
-from .base import KeyedTransform, Samples, bound, constant, elementwise, gather, kernel, sampled
+from .base import KeyedTransform, Samples, bound, constant, elementwise, gather, kernel, over_batch, sampled
 from .compose import conditionally
 
 
@@ -113,9 +112,8 @@ class ResizeNative(KeyedTransform):
         drawn = self._tuple_drawn() or isinstance(self.size if self.size is not None else self.factor, AbstractParameter)
         low_high = None
         if self.preserve:
-            w = Window.partitionBy(s.batch_col) if s.batch_col else Window.partitionBy(F.lit(0))
             x = F.col(f"{key}.data") if spec.ragged else F.col(key)
-            s = s.with_df(s.df.withColumns({"__low": F.min(F.array_min(x)).over(w), "__high": F.max(F.array_max(x)).over(w)}))
+            s = over_batch(s, __low=F.min(F.array_min(x)), __high=F.max(F.array_max(x)))
             low_high = (F.col("__low").cast("double"), F.col("__high").cast("double"))
         if not drawn and self.deterministic() and not spec.ragged:
             out = gather(s, key, self.index_map(spec))
@@ -206,15 +204,12 @@ class ProgressiveResize(KeyedTransform):
         def run(x: np.ndarray, step: np.ndarray) -> np.ndarray:
             return kernels.interpolate(x, [int(n) for n in per_dim(scheduler(int(step[0])), x.ndim - 2)], mode, align)
 
-        out = kernel(s, key, run, RAGGED, step)
-        if self.preserve:
-            w = Window.partitionBy(s.batch_col) if s.batch_col else Window.partitionBy(F.lit(0))
-            old = f"__before_{key}"
-            s2 = s.with_df(s.df.withColumn(old, F.struct(F.min(F.array_min(key)).over(w).alias("a"), F.max(F.array_max(key)).over(w).alias("b"))))
-            out = kernel(s2, key, run, RAGGED, step)
-            out = elementwise(out, key, lambda e: F.least(F.greatest(e, F.col(f"{old}.a")), F.col(f"{old}.b")))
-            out = out.with_df(out.df.drop(old))
-        return out
+        if not self.preserve:
+            return kernel(s, key, run, RAGGED, step)
+        x = F.col(f"{key}.data") if s.spec(key).ragged else F.col(key)
+        s = over_batch(s, __low=F.min(F.array_min(x)).cast("double"), __high=F.max(F.array_max(x)).cast("double"))
+        out = elementwise(kernel(s, key, run, RAGGED, step), key, lambda e: F.least(F.greatest(e, F.col("__low")), F.col("__high")))
+        return out.with_df(out.df.drop("__low", "__high"))
 
 
 class Crop(KeyedTransform):
