@@ -48,9 +48,9 @@ def topic(text: Column) -> Column:
 def tempered(cells: DataFrame, dim: str, temperature: float) -> DataFrame:
     """(dim, target): the corpus shares raised to ``temperature`` and made to sum to 1."""
     sums = cells.groupBy(dim).agg(F.sum("tokens").alias("t")).where("t > 0")
-    powered = sums.withColumn("p", F.pow(F.col("t"), F.lit(temperature)))
-    total = powered.agg(F.sum("p").alias("all"))
-    return powered.join(F.broadcast(total)).select(dim, (F.col("p") / F.col("all")).alias("target"))
+    powered = cut(sums.withColumn("p", F.pow(F.col("t"), F.lit(temperature))))
+    total = powered.agg(F.sum("p")).first()[0] or 1.0
+    return powered.select(dim, (F.col("p") / F.lit(total)).alias("target"))
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, cut_every: int = 4) -> DataFrame:
@@ -61,10 +61,8 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
     sums are windows over cells, which are far fewer than documents and spill.
     A checkpoint every ``cut_every`` rounds keeps plans short.
     """
-    total = cells.agg(F.sum("tokens").alias("all"))
-    fitted = cells.join(F.broadcast(total)).withColumn(
-        "weight", F.when(F.col("all") > 0, F.col("tokens") / F.col("all")).otherwise(0.0)
-    ).drop("all")
+    total = cells.agg(F.sum("tokens")).first()[0] or 1.0  # one number, as are the others taken to the driver
+    fitted = cells.withColumn("weight", F.col("tokens") / F.lit(total))
     for dim, target in targets.items():
         goal = target.select(F.col(dim).alias("__d"), F.col("target").alias(f"__{dim}"))
         fitted = fitted.join(small(goal), F.col(dim).eqNullSafe(F.col("__d")), "left").drop("__d")
@@ -110,21 +108,18 @@ def mix(
     for dim in DIMS:
         given = (targets or {}).get(dim)
         if given is None:
-            wanted[dim] = cut(tempered(cells, dim, temperature))
+            wanted[dim] = tempered(cells, dim, temperature)
         else:
             total = sum(given.values())
             shares = [(k, v / total) for k, v in given.items()]
             wanted[dim] = d.sparkSession.createDataFrame(shares, f"{dim} string, target double")
     fitted = rake(cells, wanted, rounds)
     rated = fitted.withColumn("rate", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0))
-    most = rated.agg(F.max("rate").alias("most"))
-    rated = rated.join(F.broadcast(most)).select(
-        *[F.col(c).alias(f"__{c}") for c in DIMS],
-        "rate",
-        F.when(F.col("most") > 0, F.col("rate") / F.col("most")).otherwise(0.0).alias("p"),
-    )
+    rated = cut(rated)
+    most = rated.agg(F.max("rate")).first()[0] or 1.0
+    rated = rated.select(*[F.col(c).alias(f"__{c}") for c in DIMS], "rate", (F.col("rate") / F.lit(most)).alias("p"))
     match = [F.col(f"mix_{c}").eqNullSafe(F.col(f"__{c}")) for c in DIMS]
-    out = d.join(small(cut(rated)), match[0] & match[1] & match[2], "left")
+    out = d.join(small(rated), match[0] & match[1] & match[2], "left")
     own = F.col("mix_tokens") > 0
     u = unit_hash(F.lit(seed), F.col(id_col))
     return out.select(
