@@ -57,6 +57,8 @@ _AWAY = frozenset(
     "comment comments commentlist commentary respond replies reply disqus discussion reactions "
     "share sharing social socials related recommended recommendations trending popular search searchbox form forms skip copyright legal tags taglist hidden".split()
 )
+#: Class names that tell of a page's layout, not of the element.
+_LAYOUT = re.compile(r"(?:^|\s)(?:has|no|with|without|is|js|hide|show|wp)[-_]\S*", re.I)
 _KEEP_TAGS = frozenset("html body main article".split())
 _HIDDEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 _LINKED = frozenset(["a", "button", "select"])
@@ -73,13 +75,13 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(raw)}
 
 
-def _away(tag: str, raw: str, inside_article: bool) -> bool:
-    """Whether the element is named as something beside the article."""
+def _away(tag: str, raw: str, inside_article: bool, names: bool) -> bool:
+    """Whether the element is something beside the article, by its tag or, with ``names``, its attributes."""
     if tag in _DROP:
         return True
     if tag == "header" and not inside_article:
         return True
-    if not raw or tag in _KEEP_TAGS:
+    if not raw or not names or tag in _KEEP_TAGS:
         return False
     a = _attributes(raw)
     if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(a.get("style", "")):
@@ -87,12 +89,13 @@ def _away(tag: str, raw: str, inside_article: bool) -> bool:
     words = set()
     for k in ("class", "id", "role", "aria-label", "itemprop", "data-role"):
         if v := a.get(k):
-            words.update(_WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", v).lower()))
+            v = re.sub(r"([a-z])([A-Z])", r"\1 \2", _LAYOUT.sub(" ", v) if k == "class" else v)
+            words.update(_WORDS.findall(v.lower()))
     return bool(words & _AWAY) and not (tag in ("h1", "header") and inside_article)
 
 
-def parse(page: str) -> Node:
-    """A tree of the page; elements that name themselves as no article are left out."""
+def parse(page: str, names: bool = True) -> Node:
+    """A tree of the page; elements that tell by tag, or name, that they are no article are left out."""
     root = body = Node("html", "", None)
     stack, at, n = [root], 0, len(page)
     skip, depth = "", 0  # the left-out element that is open, and how many of its name
@@ -161,7 +164,7 @@ def parse(page: str) -> Node:
         if tag == "br":
             stack[-1].parts.append("\n")
             continue
-        if _away(tag, raw, article > 0):
+        if _away(tag, raw, article > 0, names):
             stack[-1].parts.append(Node("hr", "", stack[-1]) if tag in _BLOCK else "")
             if tag not in _VOID and not raw.endswith("/"):
                 skip, depth = tag, 1
@@ -280,10 +283,13 @@ def blocks(nodes: list[Node]) -> list[str]:
 
 
 def main_text(page: str | None) -> str:
-    """The main text of a page; empty for null and for pages without any."""
+    """The main text of a page; empty for null and for pages without any.
+
+    Where the names of elements leave nothing, tags alone decide.
+    """
     if not page:
         return ""
-    return "\n".join(blocks(main_nodes(parse(page))))
+    return "\n".join(blocks(main_nodes(parse(page)))) or "\n".join(blocks(main_nodes(parse(page, False))))
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
