@@ -86,7 +86,7 @@ def normal(scope: str, op: str) -> str:
     return f"sqrt(-2 * ln(greatest({u(scope, op, 0)}, 1 / 4294967296.0))) * cos(2 * pi() * {u(scope, op, 1)})"
 
 
-# -- flagship ---------------------------------------------------------------------------------------------------------
+# -- flagship
 
 @query("flagship", f"""
 SELECT bid AS batch_id, ((pos // 8) * 8 + 7 - pos % 8)::INTEGER AS pos, round(avg((e - lo) / (hi - lo + 1e-8)), 6) AS mean_value, count(*) AS n
@@ -97,7 +97,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.groupBy("batch_id", "pos").agg(F.round(F.avg("v"), 6).alias("mean_value"), F.count(F.lit(1)).alias("n"))
 
 
-# -- intensity --------------------------------------------------------------------------------------------------------
+# -- intensity
 
 on_images("clamp", lambda: ops.Clamp(-0.1, 0.2), each("least(0.2, greatest(-0.1, e))"))
 _BY = {"sample": "PARTITION BY vec_id", "channel": "PARTITION BY vec_id, pos // 16"}
@@ -154,7 +154,7 @@ FROM (SELECT vec_id, pos, e - 1e-12 AS q, e FROM {X}) ASOF JOIN b ON q >= lo"""
 on_images("bezier_fixed", lambda: ops.RandomBezierTransform(points=[0.2, 0.9, 0.7, 0.1]), _bezier_sql())
 on_images("bezier_random", lambda: ops.RandomBezierTransform())
 
-# -- spatial ----------------------------------------------------------------------------------------------------------
+# -- spatial
 
 on_images("mirror_0", lambda: ops.Mirror(0, prob=1.0), at("x[(7 - p // 8) * 8 + p % 8 + 1]"))
 on_images("mirror_1", lambda: ops.Mirror(1, prob=1.0), at("x[(p // 8) * 8 + 7 - p % 8 + 1]"))
@@ -220,7 +220,7 @@ def step_schedule(spark, sf_dir):
     return s.df.select("batch_id", _SCHEDULE.column(F.col("batch_id")).alias("size")).distinct()
 
 
-# -- composition ------------------------------------------------------------------------------------------------------
+# -- composition
 
 on_images("compose_fused", lambda: ops.Compose(ops.Mirror(0, prob=1.0), ops.Rot90((0, 1), num_rots=(1,), prob=1.0), ops.CenterCrop(4)),
           at("x[(7 - (p % 4 + 2)) * 8 + 7 - (p // 4 + 2) + 1]", 16))
@@ -237,7 +237,7 @@ on_images("per_channel_transform", lambda: ops.PerChannelTransform(lambda x: F.t
           each("e / hi", f"(SELECT *, max(e) OVER ({_BY['channel']}) AS hi FROM {X})"), CHANNELS)
 on_images("per_sample_transform", lambda: ops.PerSampleTransform(lambda x: x - np.median(x)), each("e - m", f"(SELECT *, median(e) OVER ({_BY['sample']}) AS m FROM {X})"))
 
-# -- affine -----------------------------------------------------------------------------------------------------------
+# -- affine
 
 on_images("affine_identity", lambda: ops.BaseAffine(), at("x[p + 1]"))
 on_images("affine_rotate_90", lambda: ops.Rotate(90, degree=True), at(_ROT[3]))
@@ -305,7 +305,7 @@ def adjusted_size(spark, sf_dir):
     return rotate(s).df.select("batch_id", shape[1].alias("height"), shape[2].alias("width")).distinct()
 
 
-# -- kernels and painting ---------------------------------------------------------------------------------------------
+# -- kernels and painting
 
 def _gauss_sql() -> str:
     k = kernels.gaussian_kernel(1, (3, 3), (0.5, 0.5))[0, 0]
@@ -340,7 +340,7 @@ on_volumes("random_inpainting", lambda: ops.RandomInpainting(), 16)
 on_volumes("random_outpainting", lambda: ops.RandomOutpainting(1.0), 36)
 on_volumes("random_in_or_outpainting", lambda: ops.RandomInOrOutpainting(), 36)
 
-# -- labels, types and keys -------------------------------------------------------------------------------------------
+# -- labels, types and keys
 
 
 @query("one_hot", "SELECT vec_id, k::INTEGER AS pos, (label = k)::INTEGER::BIGINT AS v FROM embeddings, (SELECT unnest(range(10)) AS k)")
@@ -422,7 +422,7 @@ on_events("pop_keys", lambda: ops.PopKeys(["user_id"]), "SELECT event_id, event_
 on_events("map_to_seq", lambda: ops.MapToSeq("value", "user_id"), "SELECT event_id, value, user_id FROM events")
 on_events("seq_to_map", lambda: ops.SeqToMap("a", "b"), "SELECT event_id, user_id AS a, event_type AS b FROM events")
 
-# -- loading ----------------------------------------------------------------------------------------------------------
+# -- loading
 
 
 def _orders(spark, sf_dir) -> Dataset:
@@ -501,7 +501,7 @@ def windowed_events(spark, sf_dir):
     return df.select(F.col("window.start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-# -- whole pipelines --------------------------------------------------------------------------------------------------
+# -- whole pipelines
 
 on_images("pipeline_classification", lambda: ops.Compose(
     ops.NormMinMax(), ops.GaussianNoise(0.0, 0.01), ops.GaussianSmoothing(1, 3, 0.5, padding=1), ops.Rot90((0, 1), prob=0.5), ops.Mirror((0, 1), prob=0.5),

@@ -91,7 +91,7 @@ def to_device_dtype(s: Samples, dtype: str = "double", device: str = "cpu", keys
     return ops.ToDeviceDtype(device, dtype, keys)(s)
 
 
-def local_pixel_shuffle(s: Samples, n: int = -1, block_size: Sequence[int] = (0, 0, 0), rel_block_size: float = 0.1, keys: Sequence[str] = ("data",)) -> Samples:
+def local_pixel_shuffle(s: Samples, n: int = -1, block_size=(0, 0, 0), rel_block_size=0.1, keys: Sequence[str] = ("data",)) -> Samples:
     return ops.LocalPixelShuffle(n, keys, block_size, rel_block_size)(s)
 
 

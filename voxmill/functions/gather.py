@@ -33,10 +33,11 @@ def permute(spec: TensorSpec, order: Sequence[int]) -> np.ndarray:
     return np.transpose(spec.positions(), order)
 
 
-def crop(spec: TensorSpec, corner: Sequence[int], size: Sequence[int]) -> np.ndarray:
+def crop(spec: TensorSpec, corner, size) -> np.ndarray:
     """Of the last dimensions; past the edge it ends early, like a slice."""
     at = [slice(None)] * (len(spec.fixed) - len(corner))
-    return spec.positions()[tuple(at + [slice(c, c + s) for c, s in zip(corner, size)])]
+    ends = [a + n for a, n in zip(corner, size)]
+    return spec.positions()[(*at, *map(slice, corner, ends))]
 
 
 def centre_corner(extents: Sequence[int], size: Sequence[int]) -> list[int]:

@@ -137,24 +137,29 @@ def create_translation(offset, ndim: int, image: bool = True) -> Matrix:
     return m
 
 
+def _turn(n: int, plane: tuple[int, int], angle) -> Matrix:
+    """The rotation of a plane's first axis towards its second."""
+    (i, j), m = plane, eye(n)
+    m[i][i] = m[j][j] = _cos(angle)
+    m[j][i] = _sin(angle)
+    m[i][j] = -m[j][i]
+    return m
+
+
 def create_rotation_2d(angle) -> Matrix:
-    c, s = _cos(angle), _sin(angle)
-    return [[c, -s], [s, c]]
+    return _turn(2, (0, 1), angle)
 
 
 def create_rotation_3d_0(angle) -> Matrix:
-    c, s = _cos(angle), _sin(angle)
-    return [[1.0, 0.0, 0.0], [0.0, c, -s], [0.0, s, c]]
+    return _turn(3, (1, 2), angle)
 
 
 def create_rotation_3d_1(angle) -> Matrix:
-    c, s = _cos(angle), _sin(angle)
-    return [[c, 0.0, s], [0.0, 1.0, 0.0], [-s, 0.0, c]]
+    return _turn(3, (2, 0), angle)
 
 
 def create_rotation_3d_2(angle) -> Matrix:
-    c, s = _cos(angle), _sin(angle)
-    return [[c, -s, 0.0], [s, c, 0.0], [0.0, 0.0, 1.0]]
+    return _turn(3, (0, 1), angle)
 
 
 def create_rotation_3d(angles: Sequence) -> Matrix:

@@ -149,7 +149,7 @@ class DiscreteParameter(AbstractParameter):
     a column sample null.
     """
 
-    def __init__(self, population: Sequence, replacement: bool = False, weights: Sequence[float] | None = None, cum_weights: Sequence[float] | None = None):
+    def __init__(self, population, replacement=False, weights=None, cum_weights=None):
         if not len(population):
             raise ValueError("an empty population")
         if (weights is not None or cum_weights is not None) and not replacement:
@@ -200,7 +200,7 @@ def combinations_all(data: Sequence) -> list[tuple]:
 
 
 class DiscreteCombinationsParameter(DiscreteParameter):
-    def __init__(self, population: Sequence, replacement: bool = False):
+    def __init__(self, population, replacement=False):
         super().__init__(combinations_all(population), replacement)
 
 

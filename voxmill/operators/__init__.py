@@ -9,10 +9,10 @@ from .channel import (
     ToDtype, ToTensor, np_one_hot, one_hot,
 )
 from .compose import Compose, DoNothing, DropoutCompose, OneOf
-from .intensity import (
-    Clamp, ExponentialNoise, GammaCorrection, GaussianNoise, InvertAmplitude, Noise, NormMeanStd, NormMinMax, NormRange, NormZeroMeanUnitStd, RandomAddValue,
-    RandomBezierTransform, RandomScaleValue, RandomValuePerChannel,
-)
+from .intensity import NormMeanStd, NormMinMax, NormRange, NormZeroMeanUnitStd
+from .intensity import ExponentialNoise, GaussianNoise, Noise
+from .intensity import Clamp, GammaCorrection, InvertAmplitude, RandomBezierTransform
+from .intensity import RandomAddValue, RandomScaleValue, RandomValuePerChannel
 from .smoothing import GaussianSmoothing, KernelTransform, LocalPixelShuffle, RandomInOrOutpainting, RandomInpainting, RandomOutpainting
 from .spatial import CenterCrop, Crop, Mirror, ProgressiveResize, RandomCrop, ResizeNative, Rot90, SizeStepScheduler, Zoom
 

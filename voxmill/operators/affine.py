@@ -25,8 +25,8 @@ class Affine(KeyedTransform):
     """
 
     def __init__(
-        self, matrix=None, keys: Sequence[str] = ("data",), output_size=None, adjust_size: bool = False, interpolation_mode: str = "bilinear",
-        padding_mode: str = "zeros", align_corners: bool = False, reverse_order: bool = False, per_sample: bool = True, name=None,
+        self, matrix=None, keys: Sequence[str] = ("data",), output_size=None, adjust_size=False, interpolation_mode="bilinear",
+        padding_mode="zeros", align_corners=False, reverse_order=False, per_sample=True, name=None,
     ):
         super().__init__(keys, name)
         if matrix is None and type(self) is Affine:

@@ -146,7 +146,7 @@ _REDUCE = {"sum", "min", "max", "mean"}
 class TensorOp(KeyedTransform):
     """An operation by name: one of the registry, flip, permute, transpose, or a numpy method on the Arrow kernel."""
 
-    def __init__(self, op_name: str, *args, keys: Sequence[str] = ("data",), name=None):
+    def __init__(self, op_name, *args, keys=("data",), name=None):
         super().__init__(keys, name)
         self.op_name, self.args = op_name.removesuffix("_"), args
 
@@ -187,7 +187,7 @@ class SegToBox(Transform):
     time: coordinates come from positions, so nothing is shuffled.
     """
 
-    def __init__(self, keys: Mapping[str, str], name=None):
+    def __init__(self, keys: dict[str, str], name=None):
         self.keys, self.name = dict(keys), name or "SegToBox"
 
     def apply(self, s):
@@ -219,7 +219,7 @@ class SegToBox(Transform):
 class BoxToSeg(Transform):
     """{box key: segmentation key}: draws inclusive boxes with ids from 1; later ones go over earlier ones."""
 
-    def __init__(self, keys: Mapping[str, str], shape: Sequence[int], dtype: str = "long", name=None):
+    def __init__(self, keys: dict[str, str], shape: Sequence[int], dtype: str = "long", name=None):
         self.keys, self.shape, self.dtype, self.name = dict(keys), tuple(shape), dtype, name or "BoxToSeg"
 
     def apply(self, s):
@@ -251,7 +251,7 @@ class BoxToSeg(Transform):
 class InstanceToSemantic(Transform):
     """{instance key: semantic key}: instance i takes class i of ``cls_key``; others take 0."""
 
-    def __init__(self, keys: Mapping[str, str], cls_key: str, name=None):
+    def __init__(self, keys: dict[str, str], cls_key: str, name=None):
         self.keys, self.cls_key, self.name = dict(keys), cls_key, name or "InstanceToSemantic"
 
     def apply(self, s):
@@ -333,7 +333,7 @@ class FilterKeys(Transform):
 class RenameKeys(Transform):
     """Renames one after another: an existing target is overwritten, later names see earlier ones."""
 
-    def __init__(self, keys: Mapping[str, str]):
+    def __init__(self, keys: dict[str, str]):
         self.keys, self.name = dict(keys), "RenameKeys"
 
     def apply(self, s):

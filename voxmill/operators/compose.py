@@ -105,10 +105,10 @@ class OneOf(Transform):
     def __init__(self, *transforms, weights: Sequence[float] | None = None, p: float = 1.0, transform_call: Callable = dict_call, name: str = "OneOf"):
         if len(transforms) == 1 and isinstance(transforms[0], (list, tuple)):
             transforms = tuple(transforms[0])
-        if weights is not None and len(weights) != len(transforms):
-            raise ValueError("as many weights as transforms are needed")
         self.transforms = [as_transform(t) for t in transforms]
-        self.weights = list(weights) if weights is not None else [1.0] * len(transforms)
+        self.weights = [1.0] * len(self.transforms) if weights is None else list(weights)
+        if len(self.weights) != len(self.transforms):
+            raise ValueError("as many weights as transforms are needed")
         self.p, self.call, self.name = p, transform_call, name
 
     def apply(self, s):

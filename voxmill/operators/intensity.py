@@ -151,7 +151,7 @@ NOISE: dict[str, Callable[..., Column]] = {
 class Noise(KeyedTransform):
     """Adds a draw of its own to every element of every key; a final ``_`` in the type is let go."""
 
-    def __init__(self, noise_type: str, per_channel: bool = False, keys=("data",), name=None, **params):
+    def __init__(self, noise_type, per_channel=False, keys=("data",), name=None, **params):
         super().__init__(keys, name)
         kind = noise_type.removesuffix("_")
         if kind not in NOISE:
@@ -208,7 +208,7 @@ class RandomScaleValue(RandomValuePerChannel):
 class RandomBezierTransform(KeyedTransform):
     """Maps values through a cubic curve whose control points are drawn for each key and batch, or given."""
 
-    def __init__(self, maxv: float = 1.0, minv: float = 0.0, keys=("data",), points: Sequence[float] | None = None, name=None):
+    def __init__(self, maxv=1.0, minv=0.0, keys=("data",), points: Sequence[float] | None = None, name=None):
         super().__init__(keys, name)
         self.high, self.low, self.points = maxv, minv, points
 
@@ -230,7 +230,7 @@ class RandomBezierTransform(KeyedTransform):
 class InvertAmplitude(KeyedTransform):
     """max + min - x with a probability, drawn for each key and batch."""
 
-    def __init__(self, prob: float = 0.5, maxv: float = 1.0, minv: float = 0.0, keys=("data",), name=None):
+    def __init__(self, prob=0.5, maxv=1.0, minv=0.0, keys=("data",), name=None):
         super().__init__(keys, name)
         self.prob, self.total = prob, float(maxv) + float(minv)
 

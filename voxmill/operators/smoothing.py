@@ -72,14 +72,14 @@ class _Painting(KeyedTransform):
 class LocalPixelShuffle(_Painting):
     """n < 0: 1000 blocks a channel."""
 
-    def __init__(self, n: int = -1, keys=("data",), block_size: Sequence[int] = (0, 0, 0), rel_block_size: float = 0.1, name=None):
+    def __init__(self, n=-1, keys=("data",), block_size=(0, 0, 0), rel_block_size=0.1, name=None):
         super().__init__(keys, name)
         n_, b, r = n, tuple(block_size), rel_block_size
         self.paint = lambda x, rng: kernels.pixel_shuffle(x, rng, n_, b, r)
 
 
 class RandomInpainting(_Painting):
-    def __init__(self, n: int = 5, maxv: float = 1.0, minv: float = 0.0, keys=("data",), name=None):
+    def __init__(self, n=5, maxv=1.0, minv=0.0, keys=("data",), name=None):
         super().__init__(keys, name)
         self.paint = lambda x, rng: kernels.inpaint(x, rng, n, maxv, minv)
 
@@ -87,7 +87,7 @@ class RandomInpainting(_Painting):
 class RandomOutpainting(_Painting):
     """With a probability, drawn for each batch and shared by all keys."""
 
-    def __init__(self, prob: float = 0.5, maxv: float = 1.0, minv: float = 0.0, keys=("data",), name=None):
+    def __init__(self, prob=0.5, maxv=1.0, minv=0.0, keys=("data",), name=None):
         super().__init__(keys, name)
         self.prob = prob
         self.paint = lambda x, rng: kernels.outpaint(x, rng, maxv, minv)
@@ -102,7 +102,7 @@ class RandomOutpainting(_Painting):
 class RandomInOrOutpainting(KeyedTransform):
     """Outpainting with the probability, else inpainting."""
 
-    def __init__(self, prob: float = 0.5, n: int = 5, maxv: float = 1.0, minv: float = 0.0, keys=("data",), name=None):
+    def __init__(self, prob=0.5, n=5, maxv=1.0, minv=0.0, keys=("data",), name=None):
         super().__init__(keys, name)
         self.prob = prob
         self.out, self.inner = RandomOutpainting(1.0, maxv, minv, self.keys), RandomInpainting(n, maxv, minv, self.keys)

@@ -60,7 +60,7 @@ class _RandomGather(KeyedTransform):
 class Mirror(_RandomGather):
     """Flips dimensions; of more than two, a pair is drawn for each batch, the same for all keys."""
 
-    def __init__(self, dims: int | Sequence[int], keys: Sequence[str] = ("data",), prob: float = 0.5, name=None):
+    def __init__(self, dims: int | Sequence[int], keys=("data",), prob=0.5, name=None):
         super().__init__(keys, name)
         self.dims, self.prob = (dims,) if isinstance(dims, int) else tuple(dims), prob
 
@@ -71,7 +71,7 @@ class Mirror(_RandomGather):
 class Rot90(_RandomGather):
     """Rotates from the first dimension towards the second, a drawn number of times 90 degrees."""
 
-    def __init__(self, dims: Sequence[int], keys: Sequence[str] = ("data",), num_rots: Sequence[int] = (0, 1, 2, 3), prob: float = 0.5, name=None):
+    def __init__(self, dims: Sequence[int], keys=("data",), num_rots=(0, 1, 2, 3), prob=0.5, name=None):
         super().__init__(keys, name)
         if len(dims) < 2:
             raise ValueError("two dimensions or more are needed")
@@ -84,7 +84,7 @@ class Rot90(_RandomGather):
 class ResizeNative(KeyedTransform):
     """Resizes to ``size``, or by ``scale_factor``; ``preserve_range`` clamps to the range of the whole batch."""
 
-    def __init__(self, size=None, mode: str = "nearest", align_corners: bool | None = None, preserve_range: bool = False, keys: Sequence[str] = ("data",), scale_factor=None, name=None):
+    def __init__(self, size=None, mode="nearest", align_corners=None, preserve_range=False, keys=("data",), scale_factor=None, name=None):
         super().__init__(keys, name)
         if (size is None) == (scale_factor is None):
             raise ValueError("either a size or a scale factor is needed")
@@ -153,14 +153,14 @@ class ResizeNative(KeyedTransform):
 class Zoom(ResizeNative):
     """Resizes by a factor: one number, one for each dimension, or drawn."""
 
-    def __init__(self, scale_factor=(0.75, 1.25), mode: str = "nearest", align_corners: bool | None = None, preserve_range: bool = False, keys: Sequence[str] = ("data",), name=None):
+    def __init__(self, scale_factor=(0.75, 1.25), mode="nearest", align_corners=None, preserve_range=False, keys=("data",), name=None):
         super().__init__(None, mode, align_corners, preserve_range, keys, scale_factor, name)
 
 
 class SizeStepScheduler:
     """The size of a step: the first size until the first milestone is reached, and so on."""
 
-    def __init__(self, milestones: Sequence[int], sizes: Sequence):
+    def __init__(self, milestones, sizes):
         if len(sizes) != len(milestones) + 1:
             raise TypeError("one more size than milestones is needed")
         order = sorted(range(len(milestones)), key=lambda i: milestones[i])
@@ -181,7 +181,7 @@ class SizeStepScheduler:
 class ProgressiveResize(KeyedTransform):
     """Resizes to scheduler(step); the step of a batch is its number plus ``start``, whatever worker loads it."""
 
-    def __init__(self, scheduler: Callable, mode: str = "nearest", align_corners: bool | None = None, preserve_range: bool = False, keys: Sequence[str] = ("data",), start: int = 0, name=None):
+    def __init__(self, scheduler: Callable, mode="nearest", align_corners=None, preserve_range=False, keys=("data",), start: int = 0, name=None):
         super().__init__(keys, name)
         self.scheduler, self.mode, self.align, self.preserve, self.start = scheduler, mode, align_corners, preserve_range, start
 
@@ -215,7 +215,7 @@ class ProgressiveResize(KeyedTransform):
 class Crop(KeyedTransform):
     """From a corner; past the edge it ends early."""
 
-    def __init__(self, corner: Sequence[int], size: int | Sequence[int], keys: Sequence[str] = ("data",), name=None):
+    def __init__(self, corner: Sequence[int], size: int | Sequence[int], keys=("data",), name=None):
         super().__init__(keys, name)
         self.corner, self.size = tuple(corner), size
 
@@ -232,7 +232,7 @@ class Crop(KeyedTransform):
 class CenterCrop(KeyedTransform):
     """The middle; of a size, or of a drawn one."""
 
-    def __init__(self, size, keys: Sequence[str] = ("data",), name=None):
+    def __init__(self, size, keys=("data",), name=None):
         super().__init__(keys, name)
         self.size = size
 
@@ -258,7 +258,7 @@ class CenterCrop(KeyedTransform):
 class RandomCrop(KeyedTransform):
     """A crop whose corner is drawn for each batch, the same for all keys, ``dist`` off the far edge."""
 
-    def __init__(self, size: int | Sequence[int], dist: int | Sequence[int] = 0, keys: Sequence[str] = ("data",), name=None):
+    def __init__(self, size: int | Sequence[int], dist: int | Sequence[int] = 0, keys=("data",), name=None):
         super().__init__(keys, name)
         self.size, self.dist = size, dist
 

@@ -52,8 +52,9 @@ class SampleTransformer:
             raise IndexError(index)
         return rows[0]
 
-    def __len__(self) -> int:
-        return len(self.dataset)
+    def __len__(self):
+        n = len(self.dataset)
+        return n
 
 
 def collate(s: Samples, position: str = "pos", keys: Sequence[str] | None = None) -> DataFrame:
@@ -117,9 +118,11 @@ class DataLoader:
     def __init__(
         self, dataset: Dataset, batch_size: int = 1, shuffle: bool = False, batch_transforms=None, gpu_transforms=None, sample_transforms=None,
         pseudo_batch_dim: bool = False, device=None, sampler=None, batch_sampler=None, num_workers: int = 0, collate_fn: Callable | None = None,
-        pin_memory: bool = False, drop_last: bool = False, timeout: float = 0, worker_init_fn: Callable | None = None, multiprocessing_context=None,
-        auto_convert: bool = True, transform_call: Callable = default_transform_call, to_gpu_trafo=None, seed: int = 0,
+        drop_last=False, auto_convert=True, transform_call=default_transform_call, seed: int = 0, **worker_settings,
     ):
+        unknown = set(worker_settings) - {"pin_memory", "timeout", "worker_init_fn", "multiprocessing_context", "to_gpu_trafo", "prefetch_factor", "persistent_workers"}
+        if unknown:
+            raise TypeError(f"unknown settings: {', '.join(sorted(unknown))}")
         if batch_sampler is not None and (batch_size != 1 or shuffle or sampler is not None or drop_last):
             raise ValueError("a batch sampler excludes batch size, shuffle, sampler and drop_last")
         if sampler is not None and shuffle:
