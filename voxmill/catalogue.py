@@ -133,26 +133,21 @@ on_images("noise_geometric", lambda: ops.Noise("geometric", p=0.5),
           each(f"e + floor(ln(greatest(1 - {u(_SP, 'Noise:data')}, 1 / 4294967296.0)) / ln(0.5)) + 1"))
 on_images("noise_random", lambda: ops.Noise("random", low=0, high=5), each(f"e + floor({u(_SP, 'Noise:data')} * 5)"))
 
-_CX, _CY = kernels.bezier_curve((0.2, 0.9), (0.7, 0.1))
-_KNOTS = "(SELECT unnest(range({n})) AS i, unnest([{x}]) AS cx, unnest([{y}]) AS cy)"
 
-
-def _bezier_sql() -> str:
-    """The curve is made in SQL too; segment i serves values up to its right end, the first and last go on."""
+def _bezier_sql(p: list[str]) -> str:
+    """The curve of each batch is made in SQL too; segment i serves values up to its right end, the first and last go on."""
     t = "(i / 999.0)"
-    point = "3 * (1 - {t}) ** 2 * {t} * {a} + 3 * (1 - {t}) * {t} ** 2 * {b} + {t} ** 3"
-    px, py = point.format(t=t, a=0.2, b=0.7), point.format(t=t, a=0.9, b=0.1)
+    px, py = (f"3 * (1 - {t}) ** 2 * {t} * {x} + 3 * (1 - {t}) * {t} ** 2 * {y} + {t} ** 3" for x, y in ((p[0], p[2]), (p[1], p[3])))
     return f"""
-WITH g AS (SELECT unnest(range(1000)) AS i), c AS (SELECT {px} AS cx, {py} AS cy FROM g),
-k AS (SELECT row_number() OVER (ORDER BY cx) - 1 AS i, cx, list_sort((SELECT list(cy) FROM c))[row_number() OVER (ORDER BY cx)] AS cy FROM c),
-s AS (SELECT i, cx, cy, lead(cx) OVER (ORDER BY i) AS nx, lead(cy) OVER (ORDER BY i) AS ny FROM k),
-b AS (SELECT CASE WHEN i = 0 THEN -1e9 ELSE cx END AS lo, * FROM s WHERE nx IS NOT NULL)
-SELECT vec_id, pos::INTEGER AS pos, round(cy + (ny - cy) / (2.220446049250313e-16 + nx - cx) * (e - cx), 6) + 0 AS v
-FROM (SELECT vec_id, pos, e - 1e-12 AS q, e FROM {X}) ASOF JOIN b ON q >= lo"""
+WITH g AS (SELECT bid, i, {px} AS cx, {py} AS cy FROM (SELECT DISTINCT vec_id // 32 AS bid FROM embeddings), (SELECT unnest(range(1000)) AS i)),
+l AS (SELECT bid, list_sort(list(cx)) AS xs, list_sort(list(cy)) AS ys FROM g GROUP BY bid),
+b AS (SELECT bid, CASE WHEN j = 1 THEN -1e9 ELSE xs[j] END AS lo, xs[j] AS cx, ys[j] AS cy, xs[j + 1] AS nx, ys[j + 1] AS ny FROM l, (SELECT unnest(range(1, 1000)) AS j))
+SELECT x.vec_id, x.pos::INTEGER AS pos, round(cy + (ny - cy) / (2.220446049250313e-16 + nx - cx) * (e - cx), 6) + 0 AS v
+FROM (SELECT vec_id, bid, pos, e - 1e-12 AS q, e FROM {X}) x ASOF JOIN b ON x.bid = b.bid AND x.q >= b.lo"""
 
 
-on_images("bezier_fixed", lambda: ops.RandomBezierTransform(points=[0.2, 0.9, 0.7, 0.1]), _bezier_sql())
-on_images("bezier_random", lambda: ops.RandomBezierTransform())
+on_images("bezier_fixed", lambda: ops.RandomBezierTransform(points=[0.2, 0.9, 0.7, 0.1]), _bezier_sql(["0.2", "0.9", "0.7", "0.1"]))
+on_images("bezier_random", lambda: ops.RandomBezierTransform(), _bezier_sql([u("bid", "RandomBezierTransform:data", d) for d in range(4)]))
 
 # -- spatial
 
@@ -207,7 +202,9 @@ on_images("resize_bicubic", lambda: ops.ResizeNative(6, mode="bicubic"), _bicubi
 on_images("resize_preserve_range", lambda: ops.ResizeNative(6, mode="bicubic", preserve_range=True), f"""
 WITH r AS (SELECT bid, min(e) AS lo, max(e) AS hi FROM {X} GROUP BY bid), b AS ({_bicubic_sql().replace('round(', '(').replace(', 6) + 0 AS v', ') AS v')})
 SELECT vec_id, pos, round(least(greatest(v, lo), hi), 6) + 0 AS v FROM b JOIN r ON vec_id // 32 = bid""")
-on_images("zoom_random", lambda: ops.Zoom(UniformParameter(0.75, 1.25)))
+on_images("zoom_random", lambda: ops.Zoom(UniformParameter(0.75, 1.25)), f"""
+SELECT vec_id, p::INTEGER AS pos, round(embedding[least(floor((p // n) * (1 / f)), 7)::INTEGER * 8 + least(floor((p % n) * (1 / f)), 7)::INTEGER + 1]::DOUBLE, 6) + 0 AS v
+FROM (SELECT *, floor(8 * f)::INTEGER AS n FROM (SELECT *, 0.75 + {u('vec_id // 32', 'Zoom')} * 0.5 AS f FROM embeddings)), (SELECT unnest(range(100)) AS p) WHERE p < n * n""")
 _SCHEDULE = ops.SizeStepScheduler([2, 5], [4, 8, 16])
 on_images("progressive_resize", lambda: ops.ProgressiveResize(_SCHEDULE), f"""
 SELECT vec_id, p::INTEGER AS pos, round(embedding[floor((p // n) * 8.0 / n)::INTEGER * 8 + floor((p % n) * 8.0 / n)::INTEGER + 1]::DOUBLE, 6) + 0 AS v
@@ -244,13 +241,15 @@ on_images("affine_rotate_90", lambda: ops.Rotate(90, degree=True), at(_ROT[3]))
 on_images("affine_nearest_180", lambda: ops.Rotate(180, degree=True, interpolation_mode="nearest"), at(_ROT[2]))
 
 
-def _sampled(theta: str, columns: str = "") -> str:
-    """Bilinear sampling, zeros outside, of 8x8 with a matrix a, b, c, d, e2, f of SQL."""
+def _sampled(theta: str, reflected: bool = False) -> str:
+    """Bilinear sampling of 8x8 with a matrix a, b, c, d, e2, f of SQL: zeros outside, or aligned corners and reflection."""
+    grid = (lambda o: f"2 * {o} / 7.0 - 1") if reflected else (lambda o: f"(2 * {o} + 1) / 8.0 - 1")
+    fold = lambda g: f"least(abs(({g} + 1) / 2 * 7) % 14, 14 - abs(({g} + 1) / 2 * 7) % 14)" if reflected else f"(({g} + 1) * 8 - 1) / 2"
     tap = lambda r, c: f"CASE WHEN {r} BETWEEN 0 AND 7 AND {c} BETWEEN 0 AND 7 THEN x[{r} * 8 + {c} + 1] ELSE 0 END"
     return f"""
 WITH t AS (SELECT vec_id, embedding::DOUBLE[] AS x, {theta} FROM embeddings),
-g AS (SELECT t.*, p, (2 * (p % 8) + 1) / 8.0 - 1 AS gx, (2 * (p // 8) + 1) / 8.0 - 1 AS gy FROM t, (SELECT unnest(range(64)) AS p)),
-q AS (SELECT vec_id, p, x, ((a * gx + b * gy + c + 1) * 8 - 1) / 2 AS sx, ((d * gx + e2 * gy + f + 1) * 8 - 1) / 2 AS sy FROM g),
+g AS (SELECT t.*, p, {grid('(p % 8)')} AS gx, {grid('(p // 8)')} AS gy FROM t, (SELECT unnest(range(64)) AS p)),
+q AS (SELECT vec_id, p, x, {fold('(a * gx + b * gy + c)')} AS sx, {fold('(d * gx + e2 * gy + f)')} AS sy FROM g),
 w AS (SELECT *, floor(sx)::INTEGER AS c0, floor(sy)::INTEGER AS r0, sx - floor(sx) AS fx, sy - floor(sy) AS fy FROM q)
 SELECT vec_id, p::INTEGER AS pos, round((1 - fy) * ((1 - fx) * {tap('r0', 'c0')} + fx * {tap('r0', '(c0 + 1)')})
   + fy * ((1 - fx) * {tap('(r0 + 1)', 'c0')} + fx * {tap('(r0 + 1)', '(c0 + 1)')}), 6) + 0 AS v FROM w"""
@@ -263,11 +262,16 @@ _ANGLE = f"radians(-30 + {u('vec_id', 'Rotate:rotation')} * 60)"
 on_images("affine_rotate_random", lambda: ops.Rotate(UniformParameter(-30, 30), degree=True),
           _sampled(f"cos({_ANGLE}) AS a, sin({_ANGLE}) AS b, 0.0 AS c, -sin({_ANGLE}) AS d, cos({_ANGLE}) AS e2, 0.0 AS f"))
 on_images("affine_stacked", lambda: ops.Scale(2.0) + ops.Affine([[0.9, 0.2], [-0.1, 1.1]]), _sampled("0.45 AS a, 0.1 AS b, 0.0 AS c, -0.05 AS d, 0.55 AS e2, 0.0 AS f"))
-on_images("affine_resize", lambda: ops.Resize(16, interpolation_mode="nearest"))
+on_images("affine_resize", lambda: ops.Resize(16, interpolation_mode="nearest"),
+          at("x[round((2 * (p // 16) + 1) / 8.0 + 1.5)::INTEGER * 8 + round((2 * (p % 16) + 1) / 8.0 + 1.5)::INTEGER + 1]", 256))
 on_images("affine_adjusted", lambda: ops.Rotate(90, degree=True, adjust_size=True), at(_ROT[3]))
-on_images("affine_reflection", lambda: ops.Affine([[1.5, 0, 0], [0, 1.5, 0]], padding_mode="reflection", align_corners=True))
-on_images("affine_volume", lambda: ops.Rotate((0, 0, 90), degree=True), None, VOLUME)
-on_images("affine_random", lambda: ops.BaseAffine(UniformParameter(0.8, 1.2), UniformParameter(-30, 30), UniformParameter(-0.02, 0.02), degree=True))
+on_images("affine_reflection", lambda: ops.Affine([[1.5, 0, 0], [0, 1.5, 0]], padding_mode="reflection", align_corners=True),
+          _sampled("1.5 AS a, 0.0 AS b, 0.0 AS c, 0.0 AS d, 1.5 AS e2, 0.0 AS f", True))
+on_images("affine_volume", lambda: ops.Rotate((0, 0, 90), degree=True), at("x[(p // 16) * 16 + (3 - p % 4) * 4 + (p // 4) % 4 + 1]"), VOLUME)
+_S, _R = f"(0.8 + {u('vec_id', 'BaseAffine:scale')} * 0.4)", f"radians(-30 + {u('vec_id', 'BaseAffine:rotation')} * 60)"
+_T = f"-(-0.02 + {u('vec_id', 'BaseAffine:translation')} * 0.04)"
+on_images("affine_random", lambda: ops.BaseAffine(UniformParameter(0.8, 1.2), UniformParameter(-30, 30), UniformParameter(-0.02, 0.02), degree=True),
+          _sampled(f"cos({_R}) / {_S} AS a, sin({_R}) / {_S} AS b, {_T} AS c, -sin({_R}) / {_S} AS d, cos({_R}) / {_S} AS e2, {_T} AS f"))
 
 _COS, _SIN = "cos(radians(label * 36))", "sin(radians(label * 36))"
 
@@ -315,7 +319,20 @@ def _gauss_sql() -> str:
 
 
 on_images("gaussian_smoothing", lambda: ops.GaussianSmoothing(1, 3, 0.5, padding=1), _gauss_sql())
-on_images("gaussian_stride", lambda: ops.GaussianSmoothing(4, 3, 1.0, stride=2, padding=1, padding_mode="zero"), None, CHANNELS)
+
+
+def _stride_sql() -> str:
+    k = kernels.gaussian_kernel(1, (3, 3), (1.0, 1.0))[0, 0]
+    row, column = "((p // 2) % 2 * 2 + {i})", "(p % 2 * 2 + {j})"
+    taps = []
+    for i in range(3):
+        for j in range(3):
+            r, c = row.format(i=i - 1), column.format(j=j - 1)
+            taps.append(f"CASE WHEN {r} >= 0 AND {c} >= 0 THEN {float(k[i, j])!r} * x[p // 4 * 16 + {r} * 4 + {c} + 1] ELSE 0 END")
+    return at(" + ".join(taps), 16)
+
+
+on_images("gaussian_stride", lambda: ops.GaussianSmoothing(4, 3, 1.0, stride=2, padding=1, padding_mode="zero"), _stride_sql(), CHANNELS)
 
 
 def volumes(spark: SparkSession, sf_dir: str, side: int) -> Samples:
