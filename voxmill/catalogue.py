@@ -241,13 +241,13 @@ on_images("affine_rotate_90", lambda: ops.Rotate(90, degree=True), at(_ROT[3]))
 on_images("affine_nearest_180", lambda: ops.Rotate(180, degree=True, interpolation_mode="nearest"), at(_ROT[2]))
 
 
-def _sampled(theta: str, reflected: bool = False) -> str:
+def _sampled(theta: str, reflected: bool = False, source: str = "(SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings)") -> str:
     """Bilinear sampling of 8x8 with a matrix a, b, c, d, e2, f of SQL: zeros outside, or aligned corners and reflection."""
     grid = (lambda o: f"2 * {o} / 7.0 - 1") if reflected else (lambda o: f"(2 * {o} + 1) / 8.0 - 1")
     fold = lambda g: f"least(abs(({g} + 1) / 2 * 7) % 14, 14 - abs(({g} + 1) / 2 * 7) % 14)" if reflected else f"(({g} + 1) * 8 - 1) / 2"
     tap = lambda r, c: f"CASE WHEN {r} BETWEEN 0 AND 7 AND {c} BETWEEN 0 AND 7 THEN x[{r} * 8 + {c} + 1] ELSE 0 END"
     return f"""
-WITH t AS (SELECT vec_id, embedding::DOUBLE[] AS x, {theta} FROM embeddings),
+WITH t AS (SELECT vec_id, x, {theta} FROM {source}),
 g AS (SELECT t.*, p, {grid('(p % 8)')} AS gx, {grid('(p // 8)')} AS gy FROM t, (SELECT unnest(range(64)) AS p)),
 q AS (SELECT vec_id, p, x, {fold('(a * gx + b * gy + c)')} AS sx, {fold('(d * gx + e2 * gy + f)')} AS sy FROM g),
 w AS (SELECT *, floor(sx)::INTEGER AS c0, floor(sy)::INTEGER AS r0, sx - floor(sx) AS fx, sy - floor(sy) AS fy FROM q)
@@ -311,14 +311,14 @@ def adjusted_size(spark, sf_dir):
 
 # -- kernels and painting
 
-def _gauss_sql() -> str:
+def _gauss_taps() -> str:
     k = kernels.gaussian_kernel(1, (3, 3), (0.5, 0.5))[0, 0]
     edge = lambda v: f"(CASE WHEN {v} < 0 THEN -({v}) WHEN {v} > 7 THEN 14 - ({v}) ELSE {v} END)"
     taps = [f"{float(k[i, j])!r} * x[{edge(f'(p // 8 + {i - 1})')} * 8 + {edge(f'(p % 8 + {j - 1})')} + 1]" for i in range(3) for j in range(3)]
-    return at(" + ".join(taps))
+    return " + ".join(taps)
 
 
-on_images("gaussian_smoothing", lambda: ops.GaussianSmoothing(1, 3, 0.5, padding=1), _gauss_sql())
+on_images("gaussian_smoothing", lambda: ops.GaussianSmoothing(1, 3, 0.5, padding=1), at(_gauss_taps()))
 
 
 def _stride_sql() -> str:
@@ -520,11 +520,29 @@ def windowed_events(spark, sf_dir):
 
 # -- whole pipelines
 
+def _turned(source: str, prob: float = 0.5) -> str:
+    """Lists x of the source, rotated and mirrored as the batch draws."""
+    rotated = f"CASE WHEN {u('bid', 'Rot90')} >= {prob} THEN x[p + 1] ELSE CASE least(floor({u('bid', 'Rot90', 1)} * 4), 3) " + " ".join(f"WHEN {k} THEN {v}" for k, v in _ROT.items()) + " END END"
+    mirrored = f"CASE WHEN {u('bid', 'Mirror')} < {prob} THEN x[64 - p] ELSE x[p + 1] END"
+    for expr in (rotated, mirrored):
+        source = f"(SELECT vec_id, bid, list({expr} ORDER BY p) AS x FROM {source}, (SELECT unnest(range(64)) AS p) GROUP BY vec_id, bid)"
+    return source
+
+
+_Z = f"(SELECT vec_id, bid, list((e - m) / (sd + 1e-8) ORDER BY pos) AS x FROM (SELECT *, avg(e) OVER w AS m, stddev_samp(e) OVER w AS sd FROM {X} WINDOW w AS ({_BY['sample']})) GROUP BY vec_id, bid)"
+_HALF = f"radians({u('vec_id', 'Rotate:rotation')} * 180)"
+on_images("pipeline_readme", lambda: ops.Compose(
+    ops.NormZeroMeanUnitStd(), ops.Rot90((0, 1), prob=0.5), ops.Mirror((0, 1), prob=0.5), ops.Rotate(UniformParameter(0, 180), degree=True)),
+    _sampled(f"cos({_HALF}) AS a, sin({_HALF}) AS b, 0.0 AS c, -sin({_HALF}) AS d, cos({_HALF}) AS e2, 0.0 AS f", source=_turned(_Z)))
+_NOISY = (
+    f"(SELECT vec_id, bid, list((e - lo) / (hi - lo + 1e-8) + ({normal(_SP, 'GaussianNoise:data')} * 0.01) ORDER BY pos) AS x "
+    f"FROM (SELECT *, min(e) OVER w AS lo, max(e) OVER w AS hi FROM {X} WINDOW w AS ({_BY['sample']})) GROUP BY vec_id, bid)"
+)
+_SMOOTH = f"(SELECT vec_id, bid, list({_gauss_taps()} ORDER BY p) AS x FROM {_NOISY}, (SELECT unnest(range(64)) AS p) GROUP BY vec_id, bid)"
 on_images("pipeline_classification", lambda: ops.Compose(
     ops.NormMinMax(), ops.GaussianNoise(0.0, 0.01), ops.GaussianSmoothing(1, 3, 0.5, padding=1), ops.Rot90((0, 1), prob=0.5), ops.Mirror((0, 1), prob=0.5),
-    ops.BaseAffine(UniformParameter(0.8, 1.2), UniformParameter(-30, 30), UniformParameter(-0.02, 0.02), degree=True)))
-on_images("pipeline_readme", lambda: ops.Compose(
-    ops.NormZeroMeanUnitStd(), ops.Rot90((0, 1), prob=0.5), ops.Mirror((0, 1), prob=0.5), ops.Rotate(UniformParameter(0, 180), degree=True)))
+    ops.BaseAffine(UniformParameter(0.8, 1.2), UniformParameter(-30, 30), UniformParameter(-0.02, 0.02), degree=True)),
+    _sampled(f"cos({_R}) / {_S} AS a, sin({_R}) / {_S} AS b, {_T} AS c, -sin({_R}) / {_S} AS d, cos({_R}) / {_S} AS e2, {_T} AS f", source=_turned(_SMOOTH)))
 
 
 @query("pipeline_segmentation")
