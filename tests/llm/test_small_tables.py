@@ -105,6 +105,15 @@ def test_mixing_reaches_given_targets(spark):
     w = {r[0]: r[1] for r in f.groupBy("source").agg(F.sum("mix_weight")).collect()}
     assert abs(w["x"] / w["y"] - 3) < 1e-6
     assert f.where("lang is null and mix_weight > 0").isEmpty()
+    tokens, kept = f.where("lang is not null").agg(F.sum("mix_tokens"), F.sum(F.col("mix_tokens") * F.col("mix_probability"))).first()
+    assert abs(kept / f.agg(F.sum("mix_tokens")).first()[0] - 0.5) < 1e-9 and tokens > kept
+
+
+def test_calibration_gives_what_cells_that_run_out_cannot(spark):
+    cells = spark.createDataFrame([(1.0, 100.0), (10.0, 3.0), (1000.0, 1.0), (0.0, 0.0)], "tokens double, rate double")
+    c = mixing.calibrate(cells, 0.5)
+    assert abs(sum(t * min(1, c * r) for t, r in ((1, 100), (10, 3), (1000, 1))) - 505.5) < 1e-6
+    assert mixing.calibrate(cells.limit(0), 0.5) == 0
 
 
 def test_pii(docs, none):

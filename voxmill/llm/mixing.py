@@ -3,9 +3,11 @@
 Documents are summed into cells of (source, language, topic).  Raking scales
 the cells' token weights to each of the three target marginals in turn, so the
 fitted table has the wanted marginals and otherwise stays as close to the
-corpus as it can.  A cell's fitted weight over its own share is the rate of its
-documents; rates, divided by the largest, are the probabilities with which
-documents are sampled, by a hash of their id.
+corpus as it can.  A cell's fitted weight over its tokens is the rate of its
+documents.  Probabilities are rates times a factor, 1 at most, and the factor is
+calibrated so that the sample holds a wanted share of the corpus in expectation:
+what cells that run out can't give, the others do.  Documents are sampled by a
+hash of their id.
 
 Only DataFrame functions are used.  Nothing but cell sums is shuffled before
 the last join; a source of any size is summed within tasks first.
@@ -21,6 +23,7 @@ from .common import cut, small, table, unit_hash
 DIMS = ("source", "lang", "topic")
 ROUNDS = 12
 TEMPERATURE = 0.7
+KEEP = 0.5
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -85,18 +88,43 @@ def features(docs: DataFrame, text_col: str = "text", source_col: str = "source"
     })
 
 
+def calibrate(rated: DataFrame, keep: float, most: int = 64) -> float:
+    """The factor c at which the tokens of min(1, c rate) of each cell add up to the share ``keep`` of all.
+
+    Cells of probability 1 give all they have and the others the rest; c only
+    grows, as more cells run out, until no more do.  Each step is one sum over
+    cells.
+    """
+    total, weight = rated.agg(F.sum("tokens"), F.sum(F.col("tokens") * F.col("rate"))).first()
+    if not total or not weight:
+        return 0.0
+    c = keep * total / weight
+    for _ in range(most):
+        out = F.col("rate") * F.lit(c) >= 1
+        spent, left = rated.agg(
+            F.sum(F.when(out, F.col("tokens")).otherwise(0.0)), F.sum(F.when(out, 0.0).otherwise(F.col("tokens") * F.col("rate")))
+        ).first()
+        new = (keep * total - spent) / left if left else c
+        if new <= c * (1 + 1e-12):
+            break
+        c = new
+    return c
+
+
 def mix(
     d: DataFrame,
     targets: dict[str, dict[str, float]] | None = None,
     temperature: float = TEMPERATURE,
     rounds: int = ROUNDS,
+    keep: float = KEEP,
     seed: int = 0,
     id_col: str = "doc_id",
 ) -> DataFrame:
     """d, with ``features``, with mix_weight, mix_probability and mix_sampled added.
 
     ``targets`` gives weights by dim and value; a dim that is left out takes the
-    corpus shares raised to ``temperature``.  Null sources and languages are
+    corpus shares raised to ``temperature``.  The sample holds the share ``keep``
+    of all tokens, in expectation.  Null sources and languages are
     values of their own.  Documents without a word have weight and probability
     0.  Equal ids get equal draws; null ids draw as one id.  d is read twice:
     for the cell sums and for the result.
@@ -116,8 +144,8 @@ def mix(
     fitted = rake(cells, wanted, rounds)
     rated = fitted.withColumn("rate", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0))
     rated = cut(rated)
-    most = rated.agg(F.max("rate")).first()[0] or 1.0
-    rated = rated.select(*[F.col(c).alias(f"__{c}") for c in DIMS], "rate", (F.col("rate") / F.lit(most)).alias("p"))
+    factor = calibrate(rated, keep)
+    rated = rated.select(*[F.col(c).alias(f"__{c}") for c in DIMS], "rate", F.least(F.col("rate") * F.lit(factor), F.lit(1.0)).alias("p"))
     match = [F.col(f"mix_{c}").eqNullSafe(F.col(f"__{c}")) for c in DIMS]
     out = d.join(small(rated), match[0] & match[1] & match[2], "left")
     own = F.col("mix_tokens") > 0
@@ -171,9 +199,14 @@ c AS MATERIALIZED (SELECT source, lang, topic, sum(tokens) AS tokens FROM d GROU
                 f"r{n} AS MATERIALIZED (SELECT r.source, r.lang, r.topic, r.tokens, CASE WHEN w > 0 THEN w * coalesce(t.target, 0) / sum(w) OVER "
                 f"(PARTITION BY r.{dim}) ELSE 0 END AS w FROM r{n - 1} r LEFT JOIN t_{dim} t ON r.{dim} IS NOT DISTINCT FROM t.{dim})"
             )
-    parts.append(
-        f"f AS MATERIALIZED (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN (w / tokens) / max(CASE WHEN tokens > 0 THEN w / tokens ELSE 0 END) OVER () ELSE 0 END AS p FROM r{n})"
-    )
+    parts.append(f"q AS MATERIALIZED (SELECT *, CASE WHEN tokens > 0 THEN w / tokens ELSE 0 END AS rate FROM r{n})")
+    parts.append(f"k0 AS MATERIALIZED (SELECT {KEEP} * sum(tokens) AS wanted, {KEEP} * sum(tokens) / sum(tokens * rate) AS k FROM q)")
+    for i in range(16):  # more rounds than it takes; then nothing changes
+        parts.append(
+            f"k{i + 1} AS MATERIALIZED (SELECT any_value(wanted) AS wanted, greatest(any_value(k), coalesce((any_value(wanted) - coalesce(sum(tokens) FILTER (rate * k >= 1), 0)) "
+            f"/ nullif(sum(tokens * rate) FILTER (rate * k < 1), 0), 0)) AS k FROM q, k{i})"
+        )
+    parts.append("f AS MATERIALIZED (SELECT source, lang, topic, least(rate * k, 1) AS p FROM q, k16)")
     return ",\n".join(parts) + """
 SELECT doc_id, d.source, d.lang, d.topic, d.tokens::BIGINT AS tokens, round(CASE WHEN d.tokens > 0 THEN p ELSE 0 END, 6) AS probability,
   d.tokens > 0 AND ('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0 < p AS sampled
