@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, table
+from .common import crc_remainder, cut, small, table
 
 #: Long texts are compressed in pieces of so many bytes, and sizes added up, so that all of a text meets the dictionary.
 PIECE = 4096
@@ -50,7 +50,7 @@ class Compressors:
             sizes += [len(c.compress(piece)) for c in self.all]
         plain, good, bad = sizes
         if not plain:
-            return [1.0, 0.0, 0.0, 0.0, 0.0]
+            return [1.0] + [0.0] * 4
         n = len(data)
         d = (bad - good) / plain
         return [1.0, d, (bad - good) / n * 10, min(plain / n, 1.5), np.log(plain / n + 0.02)]
@@ -144,7 +144,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     keep = F.lit(False)
     for y, s in share.items():
         keep = keep | ((F.col("y") == y) & (u < s))
-    picked = known.where(keep)
+    picked = small(cut(known.where(keep)))  # so that texts aren't shuffled for it
     got = picked.join(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id").orderBy("id", "y", "text").toPandas()
     scorer = train(got["text"].tolist(), got["y"].to_numpy())
     total = sum(counts.values())
