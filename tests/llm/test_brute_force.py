@@ -238,6 +238,13 @@ def test_html_page():
     )
 
 
+def test_html_article_in_sections():
+    text = "A paragraph of the article that is long enough to be taken for text."
+    parts = "".join(f"<section><h2>{h}</h2>{f'<p>{text}</p>' * n}</section>" for h, n in (("A", 3), ("B", 1)))
+    page = f"<body><div class=wrap>{parts}<section><a href=1>One more to read</a></section></div></body>"
+    assert htmltext.main_text(page) == "\n".join(["A", text, text, text, "B", text])
+
+
 @pytest.mark.parametrize("page", ["<", "<p", "</", "<!--", "a<b", "&#x110000;&#0;", "<p>" * 3000 + "x", "<div>" * 5000 + "deep", "<table><tr><td>a<td>b", "</p></div>x", "<script>", "<![CDATA[x"])
 def test_html_that_is_broken(page):
     assert isinstance(htmltext.main_text(page), str)

@@ -64,6 +64,9 @@ _HIDDEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 _LINKED = frozenset(["a", "button", "select"])
 
 
+_PARTS = frozenset(["section", "div"])
+
+
 class Node:
     __slots__ = ("tag", "attrs", "parent", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "best")
 
@@ -242,6 +245,12 @@ def main_nodes(body: Node) -> list[Node]:
         if x.density >= threshold - 1e-12 and x.chars:
             chosen.add(x.best)
             todo.extend(p for p in x.parts if type(p) is Node)
+    for x in list(chosen):  # parts of the same article: of the same tag, with paragraphs and few links
+        if x.parent is not None and x.tag in _PARTS:
+            chosen.update(
+                y for y in x.parent.parts
+                if type(y) is Node and y.tag == x.tag and y.link_chars < 0.3 * y.chars and any(type(z) is Node and z.tag == "p" for z in y.parts)
+            )
     out = []
     todo = [body]
     while todo:
