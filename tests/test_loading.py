@@ -154,3 +154,23 @@ def test_sql(spark, sf, name):
     assert sorted(names) == sorted(df.columns)
     text = lambda rows: sorted(tuple(f"{v:.6g}" if isinstance(v, float) else str(v) for v in x) for x in rows)
     assert text(df.select(*names).collect()) == text(r.fetchall())
+
+
+def test_volumes_hold_every_value(spark, tmp_path):
+    data = [(3 * i + 1, [float(64 * i + j) for j in range(64)]) for i in range(50)]  # ids with gaps
+    spark.createDataFrame(data, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = catalogue.volumes(spark, str(tmp_path), 10).df.orderBy("sample_id").collect()
+    assert [r["sample_id"] for r in got] == [1, 46, 94, 139] and all(len(r["data"]) == 1000 for r in got)
+    assert sum((r["data"] for r in got), []) == [float(i if i < 3200 else 3000 + i % 200) for i in range(4000)]
+
+
+@pytest.mark.parametrize("name,side", [("local_pixel_shuffle", 30), ("random_inpainting", 16), ("random_outpainting", 36), ("random_in_or_outpainting", 36), ("pipeline_pretraining", 36)])
+def test_painting_queries_read_every_row(spark, sf, name, side):
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").count()
+    assert catalogue.QUERIES[name](spark, sf).count() == -(-rows * 64 // side**3)
+
+
+def test_pixel_shuffle_query_keeps_the_values(spark, sf):
+    got = {r["vec_id"]: r["total"] for r in catalogue.QUERIES["local_pixel_shuffle"](spark, sf).collect()}
+    want = catalogue.volumes(spark, sf, 30).df.select("sample_id", F.aggregate("data", F.lit(0.0), lambda a, e: a + e)).collect()
+    assert len(got) == len(want) and all(got[k] == pytest.approx(v, abs=1e-4) for k, v in want)

@@ -336,11 +336,22 @@ on_images("gaussian_stride", lambda: ops.GaussianSmoothing(4, 3, 1.0, stride=2,
 
 
 def volumes(spark: SparkSession, sf_dir: str, side: int) -> Samples:
-    """One volume a batch of ids: values of its first embeddings, repeated to fill it."""
-    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id % 100 = 0").select(
-        F.col("vec_id").alias("sample_id"), F.flatten(F.array_repeat(F.col("embedding").cast("array<double>"), -(-(side**3) // 64))).alias("v"))
-    df = df.select("sample_id", F.slice("v", 1, side**3).alias("data"))
-    return Samples(df, {"data": TensorSpec((1, side, side, side))})
+    """The values of all embeddings in the order of ids, cut into volumes; each has the id that it begins in.
+
+    A row at a border gives to both sides.  The last volume repeats its own values to be full.
+    """
+    n = side**3
+    df = Dataset.indexed(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"), "vec_id", id_col="at").df
+    first = F.col("at") * 64
+    df = df.withColumn("volume", F.explode(F.sequence(F.floor(first / n), F.floor((first + 63) / n))))
+    start = F.greatest(F.col("volume") * n - first, F.lit(0)).cast("int")
+    end = F.least((F.col("volume") + 1) * n - first, F.lit(64)).cast("int")
+    part = F.slice(F.col("embedding").cast("array<double>"), start + 1, end - start)
+    df = df.groupBy("volume").agg(F.array_sort(F.collect_list(F.struct("at", "vec_id", part.alias("v")))).alias("rows"))
+    v = F.flatten(F.col("rows.v"))
+    df = df.select(F.col("rows")[0]["vec_id"].alias("sample_id"), v.alias("v"))
+    full = F.when(F.size("v") < n, F.slice(F.flatten(F.array_repeat("v", F.ceil(F.lit(n) / F.size("v")).cast("int"))), 1, n)).otherwise(F.col("v"))
+    return Samples(df.select("sample_id", full.alias("data")), {"data": TensorSpec((1, side, side, side))})
 
 
 def on_volumes(name: str, make: Callable[[], Callable], side: int) -> None:
@@ -352,7 +363,7 @@ def on_volumes(name: str, make: Callable[[], Callable], side: int) -> None:
     QUERIES[name] = run
 
 
-on_volumes("local_pixel_shuffle", lambda: ops.LocalPixelShuffle(20), 30)
+on_volumes("local_pixel_shuffle", lambda: ops.LocalPixelShuffle(), 30)
 on_volumes("random_inpainting", lambda: ops.RandomInpainting(), 16)
 on_volumes("random_outpainting", lambda: ops.RandomOutpainting(1.0), 36)
 on_volumes("random_in_or_outpainting", lambda: ops.RandomInOrOutpainting(), 36)
