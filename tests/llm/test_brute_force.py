@@ -143,6 +143,24 @@ def test_crossparse_of_a_table(spark):
             assert math.isclose(r["relative_entropy"], r["cross_entropy"] - r["own_phrases"] * math.log2(r["own_phrases"]) / len(t))
 
 
+def test_crossparse_meets_all_other_text(spark):
+    rng = random.Random(6)
+    docs = [(i, "".join(rng.choices("abcdé ", k=rng.randint(0, 90)))) for i in range(40)]
+    docs += [(100, docs[3][1]), (101, "only here: xyz"), (102, docs[5][1] + docs[7][1]), (7, docs[9][1]), (103, "q" * 50), (103, "q" * 50)]
+    out = {(r["id"], r["n_chars"], r["own_phrases"]): r for r in crossparse.entropies(spark.createDataFrame(docs, "doc_id long, text string"), passage=40, shard=200).collect()}
+    size = sum(len(t) for i, t in set(docs))
+    for d, text in docs:
+        other, n, i = [t for e, t in docs if e != d], 0, 0
+        while i < len(text):
+            j = i + 1
+            while j <= len(text) and any(text[i:j] in t for t in other):
+                j += 1
+            i, n = max(i + 1, j - 1), n + 1
+        r = out[d, len(text), crossparse.own_phrases(text)]
+        assert r["phrases"] == n and (not text or math.isclose(r["cross_entropy"], n * math.log2(size) / len(text)))
+    assert len({r["shard"] for r in out.values()}) > 3
+
+
 def test_language_accuracy_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     out = langid.op1_langid(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").toPandas()
