@@ -174,3 +174,8 @@ def test_pixel_shuffle_query_keeps_the_values(spark, sf):
     got = {r["vec_id"]: r["total"] for r in catalogue.QUERIES["local_pixel_shuffle"](spark, sf).collect()}
     want = catalogue.volumes(spark, sf, 30).df.select("sample_id", F.aggregate("data", F.lit(0.0), lambda a, e: a + e)).collect()
     assert len(got) == len(want) and all(got[k] == pytest.approx(v, abs=1e-4) for k, v in want)
+
+
+def test_sampler_takes_every_customer(spark, sf):
+    test_sql(spark, sf, "sampler_customers")
+    assert catalogue.QUERIES["sampler_customers"](spark, sf).count() == spark.read.parquet(f"{sf}/customer.parquet").count()

@@ -500,6 +500,17 @@ def sampler(spark, sf_dir):
     return DataLoader(_orders(spark, sf_dir), 8, sampler=index).samples().df.select("batch_id", "pos", "o_orderkey")
 
 
+@query("sampler_customers", f"""
+SELECT pos // 8 AS batch_id, pos, o_orderkey FROM {_ORDERS} o
+JOIN (SELECT c_custkey AS pos, (c_custkey * 7) % (SELECT count(*) FROM orders) AS i FROM customer) s ON o.sample_id = s.i""")
+def sampler_customers(spark, sf_dir):
+    """A sample for every customer, from all orders."""
+    orders = _orders(spark, sf_dir)
+    key = F.col("c_custkey")
+    index = spark.read.parquet(f"{sf_dir}/customer.parquet").select(key.alias("pos"), ((key * 7) % max(1, len(orders))).alias("sample"))
+    return DataLoader(orders, 8, sampler=index).samples().df.select("batch_id", "pos", "o_orderkey")
+
+
 @query("batch_sampler", f"SELECT b AS batch_id, pos, o_orderkey FROM {_ORDERS} o JOIN (SELECT unnest([1, 2, 3, 9]) AS i, unnest([0, 0, 1, 1]) AS b, unnest(range(4)) AS pos) s ON o.sample_id = s.i")
 def batch_sampler(spark, sf_dir):
     return DataLoader(_orders(spark, sf_dir), batch_sampler=[[1, 2], [3, 9]]).samples().df.select("batch_id", "pos", "o_orderkey")
