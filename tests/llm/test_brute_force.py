@@ -238,6 +238,23 @@ def test_what_is_not_valid_stays(text):
     assert pii.pseudonymise(text) == (text, [])
 
 
+@pytest.mark.parametrize("text,kind,value", [
+    ("12 4111111111111111", "card", "4111111111111111"),
+    ("12 35 4111 1111 1111 1111", "card", "4111 1111 1111 1111"),
+    ("4111 1111 1111 1111 123", "card", "4111 1111 1111 1111"),
+    ("4111-1111-1111-1111-123-45", "card", "4111-1111-1111-1111"),
+    ("BE68539007547034 EUR", "iban", "BE68539007547034"),
+    ("BE68 5390 0754 7034 OK", "iban", "BE68 5390 0754 7034"),
+    ("AB12 CDEF BE68 5390 0754 7034", "iban", "BE68 5390 0754 7034"),
+    ("212-555-0199 12345", "phone", "212-555-0199"),
+])
+def test_valid_values_beside_others_are_found(text, kind, value):
+    new, spans = pii.pseudonymise(f"see {text}, thanks")
+    at = 4 + text.index(value)
+    assert spans == [(kind, at, at + len(value))] and new[at : at + len(value)] != value
+    assert new[:at] + value + new[at + len(value) :] == f"see {text}, thanks" == pii.restore(new, spans)
+
+
 def test_equal_values_stay_linked():
     a, b = pii.pseudonymise("x 4111111111111111 y")[0], pii.pseudonymise("other 4111111111111111!")[0]
     assert a.split()[1] == b.split()[1].rstrip("!") != "4111111111111111"

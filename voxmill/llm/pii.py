@@ -182,7 +182,7 @@ def _secret(v: str, key: bytes, inverse: bool) -> str | None:
 KINDS: dict[str, Callable[[str, bytes, bool], str | None]] = {
     "email": _email, "secret": _secret, "iban": _iban, "date": _date, "ip": _ip, "ssn": _ssn, "card": _card, "phone": _phone,
 }
-_PATTERN = re.compile(
+_ALTERNATIVES = (
     r"""(?P<email>(?<![\w.+%-])[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-]@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,})
     |\b(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b["']?[ ]?[:=][ ]?["']?(?P<secret>[A-Za-z0-9_\-+/]{16,}={0,2})
     |\b(?P<iban>[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,4})?)\b
@@ -190,30 +190,69 @@ _PATTERN = re.compile(
     |(?<![\w.])(?P<ip>\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(?!\w|\.\d)
     |(?<![\w-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])
     |(?<![\w.])(?P<card>\d(?:[ -]?\d){12,18})(?!\w|[.,]\d)
-    |(?<![\w.])(?P<phone>\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]\d{2,4}){1,4}|\(\d{3}\)[ ]?\d{3}[ .\-]\d{4}|\d{3}[ .\-]\d{3}[ .\-]\d{4})(?!\w|[.,-]\d)""",
-    re.X | re.A,
+    |(?<![\w.])(?P<phone>\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]\d{2,4}){1,4}|\(\d{3}\)[ ]?\d{3}[ .\-]\d{4}|\d{3}[ .\-]\d{3}[ .\-]\d{4})(?!\w|[.,-]\d)"""
 )
+_PATTERN = re.compile(_ALTERNATIVES, re.X | re.A)
+_EACH = {kind: re.compile(part, re.X | re.A) for kind, part in zip(KINDS, _ALTERNATIVES.split("\n    |"), strict=True)}
+#: What parts the groups of a value that may be shorter than its pattern takes it.
+_GROUPS = {"iban": re.compile("[ ]"), "card": re.compile("[ -]"), "phone": re.compile("[ ]")}
+_FIRST_GROUP = re.compile(r"\W*\w+", re.A)
 _MAY = re.compile(r"[0-9@]|[=:][ ]?[\"']?[A-Za-z_\-+/]{16}")
 
 
+def _valid(text: str, m: re.Match, key: bytes, inverse: bool) -> tuple[str, int, int, str] | None:
+    """Kind, start, end and pseudonym of the longest run of groups that is valid, by the first kind that has one where m starts."""
+    kinds = list(KINDS)
+    for kind in kinds[kinds.index(m.lastgroup) :]:
+        own = m if kind == m.lastgroup else _EACH[kind].match(text, m.start())
+        if own is None:
+            continue
+        a, b = own.span(kind)
+        shorter = [g.start() for g in _GROUPS[kind].finditer(text, a, b)] if kind in _GROUPS else []
+        for end in [b, *reversed(shorter)]:
+            if end < b and not _EACH[kind].fullmatch(text, m.start(), end):
+                continue
+            made = KINDS[kind](text[a:end], key, inverse)
+            if made is not None:
+                return kind, a, end, made
+    return None
+
+
 def pseudonymise(text: str | None, key: bytes = DEFAULT_KEY, inverse: bool = False) -> tuple[str | None, list[tuple[str, int, int]]]:
-    """The text with pseudonyms, and (kind, start, end) of each in the new text."""
+    """The text with pseudonyms, and (kind, start, end) of each in the new text.
+
+    Of a match that isn't valid the shorter runs of its groups are tried, then
+    the search goes on behind its first group.  The inverse finds the values
+    anew, and a pseudonym may be valid together with a number beside it where
+    the original wasn't; ``restore`` undoes by the places and is exact.
+    """
     if not text or not _MAY.search(text):
         return text, []
     out, at, done, spans = [], 0, 0, []
-    for m in _PATTERN.finditer(text):
-        kind = m.lastgroup
-        made = KINDS[kind](m.group(kind), key, inverse)
-        if made is None:
+    m = _PATTERN.search(text)
+    while m:
+        found = _valid(text, m, key, inverse)
+        if found is None:
+            m = _PATTERN.search(text, _FIRST_GROUP.match(text, m.start()).end())
             continue
-        a, b = m.span(kind)
+        kind, a, b, made = found
         out += [text[at:a], made]
         done += a - at
         spans.append((kind, done, done + len(made)))
         done, at = done + len(made), b
+        m = _PATTERN.search(text, b)
     return ("".join([*out, text[at:]]), spans) if spans else (text, [])
 
 
+def restore(text: str, spans: list[tuple[str, int, int]], key: bytes = DEFAULT_KEY) -> str:
+    """The original of a text with pseudonyms at the given places."""
+    out, at = [], 0
+    for kind, a, b in spans:
+        out += [text[at:a], KINDS[kind](text[a:b], key, True)]
+        at = b
+    return "".join([*out, text[at:]])
+
+
 def pseudonyms(docs: DataFrame, text_col: str = "text", key: bytes = DEFAULT_KEY) -> DataFrame:
     """docs with text replaced, and pii_kinds, pii_starts and pii_ends added, by code points of the new text.
 
