@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from voxmill.llm import ann, crossparse, decontam, htmltext, langid, pii, quality, simhash
+from voxmill.llm import crossparse, decontam, htmltext, langid, pii, quality, simhash
 from voxmill.llm.common import components
 from voxmill.llm.queries import ORACLE_SQL, QUERIES
 
@@ -191,24 +191,6 @@ def test_quality_accuracy_on_held_out_rows(spark):
     assert right.mean() > 0.96 and right[out["quality"] == 0].mean() > 0.8
 
 
-def test_ann_recall(spark):
-    sf = "/root/testdata/sf0.1"
-    v = spark.read.parquet(f"{sf}/embeddings.parquet")
-    p = v.orderBy("vec_id").toPandas()
-    x, ids = np.stack(p["embedding"]).astype(float), p["vec_id"].to_numpy()
-    out = ann.search(v, v.where("vec_id % 20 = 0"), rows_per_list=100).toPandas()
-    found = total = 0
-    for q, g in out.groupby("query_id"):
-        score = x @ x[ids == q][0]
-        score[ids == q] = -np.inf
-        true = ids[np.lexsort((ids, -score))[:20]]
-        found, total = found + len(set(true) & set(g["vec_id"])), total + 20
-        g = g.sort_values("rank")
-        assert list(g["rank"]) == list(range(1, 21)) and (np.diff(g["score"]) <= 0).all()
-        np.testing.assert_allclose(g["score"], [(x[ids == i][0] * x[ids == q][0]).sum() for i in g["vec_id"]], rtol=1e-12)
-    assert total == 20 * (ids % 20 == 0).sum() and found / total >= 0.9
-
-
 def test_feistel_is_a_permutation():
     for size in (1, 2, 10, 97, 1000):
         got = [pii.feistel(i, size, b"k", b"t") for i in range(size)]

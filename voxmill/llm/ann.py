@@ -7,6 +7,10 @@ at random and laid out in column blocks.  After each block, a vector whose
 partial distance, by the hypothesis test of the rotation's concentration, can't
 belong to one within the best k so far is abandoned; what is left after the
 last block is scored exactly on the original vectors.
+
+Lists that are near each other make up shards, which are what tasks hold.  A
+query first scans the shard of its nearest list; the k-th product found there is
+its threshold in the other shards, so these hand back little.
 """
 
 from __future__ import annotations
@@ -17,32 +21,43 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import table
+from .common import cut, small, table
 
-#: Vectors of a list, and queries on a list, that one piece of work takes at most (on average).
-BLOCK_VECTORS, BLOCK_QUERIES = 8192, 1024
+#: Vectors of a shard and queries of a block at most (on average); with few of them, a quarter of all, for the sake of parallel tasks.
+SHARD_VECTORS, BLOCK_QUERIES = 131_072, 32_768
+#: Vectors of a list, and queries, that are compared in one step.
+STEP_VECTORS, STEP_QUERIES = 8192, 1024
+#: Share of the true neighbours that the probed lists are to hold.
+RECALL = 0.95
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, v): rows with an id whose vector is not null, not zero and all finite."""
     v = F.col("v")
+    kind = vectors.schema[vector_col].dataType
+    plain = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.FloatType, T.DoubleType))
     ok = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(
+    return vectors.select(F.col(id_col).alias("id"), (F.col(vector_col) if plain else F.col(vector_col).cast("array<double>")).alias("v")).where(
         F.col("id").isNotNull() & v.isNotNull() & ok & F.exists(v, lambda x: x != 0)
     )
 
 
+def _matrix(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype(np.float64)
+
+
 class Lists:
     """Centroids, the rotation and the added dimension of an index."""
 
-    def __init__(self, sample: np.ndarray, lists: int, longest: float, seed: int = 7, rounds: int = 12):
+    def __init__(self, sample: np.ndarray, lists: int, longest: float, seed: int = 7, rounds: int = 8):
         rng = np.random.default_rng(seed)
         self.longest, dim = longest, sample.shape[1] + 1
         x = self.extend(sample)
         centres = x[rng.choice(len(x), lists, replace=False)]
-        for _ in range(rounds):
-            near = self._nearest(x, centres, 1)[:, 0]
+        for _ in range(rounds if lists > 1 else 1):
+            near = self._nearest(x, centres)
             count = np.bincount(near, minlength=lists)
             sums = np.stack([np.bincount(near, x[:, j], lists) for j in range(dim)], axis=1)
             full = count > 0
@@ -58,74 +73,170 @@ class Lists:
         return np.hstack([x, rest[:, None]])
 
     @staticmethod
-    def _nearest(x: np.ndarray, centres: np.ndarray, k: int) -> np.ndarray:
-        d = np.einsum("ij,ij->i", centres, centres)[None, :] - 2 * x @ centres.T
-        return np.argsort(d, axis=1, kind="stable")[:, :k]
+    def _squares(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+        """Squared distances to the centres, less what is the same for all centres."""
+        return np.einsum("ij,ij->i", centres, centres)[None, :] - 2 * x @ centres.T
+
+    @classmethod
+    def _nearest(cls, x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+        steps = [cls._squares(x[a : a + 4096], centres).argmin(axis=1) for a in range(0, len(x), 4096)]
+        return np.concatenate(steps) if steps else np.empty(0, np.int64)
 
     def of_vectors(self, x: np.ndarray) -> np.ndarray:
-        return self._nearest(self.extend(x), self.centres, 1)[:, 0]
+        return self._nearest(self.extend(x), self.centres)
+
+    def to_lists(self, q: np.ndarray, lists: np.ndarray | None = None) -> np.ndarray:
+        """Of each query, how far each list (of those given) is; queries have 0 in the added dimension."""
+        return self._squares(np.hstack([q, np.zeros((len(q), 1))]), self.centres if lists is None else self.centres[lists])
+
+
+def probe_share(index: Lists, sample: np.ndarray, k: int, recall: float, asked: int = 256) -> float:
+    """The share of lists, nearest first, that hold ``recall`` of the k nearest in the sample of some of its vectors."""
+    q = sample[np.random.default_rng(3).choice(len(sample), min(asked, len(sample)), replace=False)]
+    score = q @ sample.T
+    top = np.argpartition(-score, min(k, len(sample) - 1), axis=1)[:, : k + 1]  # one of them may be itself
+    of = index.of_vectors(sample)
+    far = index.to_lists(q)
+    rank = np.empty(far.shape, np.int64)
+    np.put_along_axis(rank, np.argsort(far, axis=1, kind="stable"), np.arange(far.shape[1])[None, :], axis=1)
+    ranks = np.sort(np.take_along_axis(rank, of[top], axis=1).ravel())
+    return float((ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))))] + 1) / far.shape[1])
+
+
+def shards_of(centres: np.ndarray, sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each list its first shard and the number of shards it takes.
 
-    def of_queries(self, q: np.ndarray) -> np.ndarray:
-        """All lists, nearest first; queries have 0 in the added dimension."""
-        return self._nearest(np.hstack([q, np.zeros((len(q), 1))]), self.centres, len(self.centres))
+    Lists are halved along the direction in which their centroids differ most
+    until a shard has ``most`` vectors or fewer; a larger list is cut by itself.
+    """
+    first, pieces = np.zeros(len(sizes), np.int64), np.maximum(1, -(-sizes // most))
+    todo, n = [np.arange(len(sizes))], 0
+    while todo:
+        part = todo.pop()
+        if len(part) == 1 or sizes[part].sum() <= most:
+            first[part] = n
+            n += int(pieces[part].max())
+            continue
+        c = centres[part] - centres[part].mean(axis=0)
+        along = c @ np.linalg.svd(c, full_matrices=False)[2][0]
+        part = part[np.argsort(along, kind="stable")]
+        total = np.cumsum(sizes[part])
+        middle = int(np.clip(np.searchsorted(total, total[-1] / 2) + 1, 1, len(part) - 1))
+        todo += [part[middle:], part[:middle]]
+    return first, pieces
 
 
 def scan(
-    ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, index: Lists, k: int, width: int = 13, eps: float = 2.1
+    ids: np.ndarray, x: np.ndarray, lists: np.ndarray, q_ids: np.ndarray, q: np.ndarray, reach: np.ndarray, floor: np.ndarray,
+    index: Lists, k: int, width: int = 13, eps: float = 2.1,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Best k of a block of vectors for each query, as (query, id, score), itself left out.
+    """Best k of a shard's vectors for each query, as (place of the query, id, score).
+
+    A query scans the lists that are no further than its ``reach``; what scores
+    below ``floor`` (-inf for none) isn't wanted.  Of the rows that are equal to
+    the query in id and vector one is left out, as its own.
 
-    The first few vectors are scored to give every query a threshold.  Then
-    column blocks of ``width`` rotated dimensions are added up: for all pairs
-    while most are in the race, and for the pairs left once few are.
+    A query without a floor gets a threshold from its nearest lists first.  Then,
+    list by list, column blocks of ``width`` rotated dimensions are added up: for
+    all pairs while most are in the race, and for the pairs left once few are.
     """
+    order = np.argsort(lists, kind="stable")
+    ids, x, lists = ids[order], x[order], lists[order]
+    here, starts = np.unique(lists, return_index=True)
+    bounds = np.append(starts, len(lists))
+    sizes = np.diff(bounds)
     r = index.extend(x) @ index.rotation
     dim = r.shape[1]
     cuts = [(a, min(a + width, dim)) for a in range(0, dim, width)]
     columns = [np.ascontiguousarray(r[:, a:b]) for a, b in cuts]
     norms = [np.einsum("ij,ij->i", c, c) for c in columns]
-    first = min(len(x), max(4 * k, 64))
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for start in range(0, len(q), 256):
-        qi, qid = q[start : start + 256], q_ids[start : start + 256]
+    for start in range(0, len(q), STEP_QUERIES):
+        end = min(start + STEP_QUERIES, len(q))
+        qi, qid = q[start:end], q_ids[start:end]
         rq = np.hstack([qi, np.zeros((len(qi), 1))]) @ index.rotation
+        length = np.einsum("ij,ij->i", qi, qi)
+        slack = 1e-11 * (index.longest**2 + length)  # rounding grows with the vectors, not with their distance
+        low = floor[start:end].copy()
+        own_left = np.ones(len(qi), bool)
+        held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        fresh: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        waiting = 0
 
-        def best(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            """Of pairs (query a, vector b), each query's best k, in order."""
-            own = ids[b] != qid[a]
-            a, b = a[own], b[own]
-            score = (x[b] * qi[a]).sum(axis=1)
-            order = np.lexsort((ids[b], -score, a))
-            a, b, score = a[order], b[order], score[order]
+        def settle() -> None:
+            """Each query's best k so far, in order, and its threshold."""
+            nonlocal held, fresh, waiting
+            a, b, score = (np.concatenate(z) for z in zip(held, *fresh))
+            by = np.lexsort((ids[b], -score, a))
+            a, b, score = a[by], b[by], score[by]
             rank = np.arange(len(a)) - np.searchsorted(a, a)
-            return a[rank < k], b[rank < k], score[rank < k]
-
-        a0, b0, s0 = best(np.repeat(np.arange(len(qi)), first), np.tile(np.arange(first), len(qi)))
-        if first < len(x):
-            limit = np.full(len(qi), np.inf)  # the squared distance that goes with the k-th product
-            last = np.searchsorted(a0, np.arange(len(qi)), "right") - 1
-            full = np.bincount(a0, minlength=len(qi)) >= k
-            limit[full] = index.longest**2 + np.einsum("ij,ij->i", qi, qi)[full] - 2 * s0[last[full]]
-            limit = np.maximum(limit, 0)
-            part = np.zeros((len(qi), len(x) - first))
-            pairs = None
-            for (lo, hi), block, norm in zip(cuts, columns, norms):
-                mine = rq[:, lo:hi]
-                bound = limit * ((1 + eps / np.sqrt(hi)) ** 2 * hi / dim if hi < dim else 1 + 1e-9) + 1e-9
-                if pairs is None:
-                    part += norm[None, first:] + np.einsum("ij,ij->i", mine, mine)[:, None] - 2 * mine @ block[first:].T
-                    alive = part <= bound[:, None]
-                    if hi == dim or np.count_nonzero(alive) < 0.4 * alive.size:
-                        pairs = np.nonzero(alive)
-                        part = part[pairs]
-                else:
-                    diff = block[pairs[1] + first] - mine[pairs[0]]
-                    part = part + np.einsum("ij,ij->i", diff, diff)
-                    keep = part <= bound[pairs[0]]
-                    pairs, part = (pairs[0][keep], pairs[1][keep]), part[keep]
-            a1, b1 = pairs[0], pairs[1] + first
-            a0, b0, s0 = best(np.concatenate([a0, a1]), np.concatenate([b0, b1]))
-        out.append((qid[a0], ids[b0], s0))
+            full = rank == k - 1
+            low[a[full]] = np.maximum(low[a[full]], score[full])
+            best = rank < k
+            held, fresh, waiting = [a[best], b[best], score[best]], [], 0
+
+        def take(a: np.ndarray, b: np.ndarray) -> None:
+            nonlocal waiting
+            for s in range(0, len(a), 1 << 18):
+                aa, bb = a[s : s + (1 << 18)], b[s : s + (1 << 18)]
+                mine = np.flatnonzero((ids[bb] == qid[aa]) & own_left[aa])
+                if len(mine):
+                    mine = mine[(x[bb[mine]] == qi[aa[mine]]).all(axis=1)]
+                    _, once = np.unique(aa[mine], return_index=True)
+                    own_left[aa[mine[once]]] = False
+                    keep = np.ones(len(aa), bool)
+                    keep[mine[once]] = False
+                    aa, bb = aa[keep], bb[keep]
+                score = (x[bb] * qi[aa]).sum(axis=1)
+                good = score >= low[aa]
+                fresh.append((aa[good], bb[good], score[good]))
+                waiting += int(good.sum())
+                if waiting > 1 << 20:
+                    settle()
+
+        far = index.to_lists(qi, here)
+        probed = far <= reach[start:end, None]
+        near = np.argsort(np.where(probed, far, np.inf), axis=1, kind="stable")
+        before = np.cumsum(sizes[near], axis=1) - sizes[near]
+        seed = np.zeros_like(probed)
+        np.put_along_axis(seed, near, before < max(4 * k, 64), axis=1)
+        seed &= probed & np.isneginf(low)[:, None]
+        for n in range(len(here)):
+            asks = np.flatnonzero(seed[:, n])
+            for v in range(bounds[n], bounds[n + 1], STEP_VECTORS) if len(asks) else ():
+                w = min(v + STEP_VECTORS, bounds[n + 1])
+                take(np.repeat(asks, w - v), np.tile(np.arange(v, w), len(asks)))
+        settle()
+        rest = probed & ~seed
+        for n in np.argsort(np.where(rest, far, np.inf).min(axis=0), kind="stable").tolist() if len(qi) else []:
+            asks = np.flatnonzero(rest[:, n])
+            if not len(asks):
+                continue
+            limit = np.where(np.isneginf(low[asks]), np.inf, np.maximum(index.longest**2 + length[asks] - 2 * low[asks], 0))
+            for v in range(bounds[n], bounds[n + 1], STEP_VECTORS):
+                w = min(v + STEP_VECTORS, bounds[n + 1])
+                part, pairs = np.zeros((len(asks), w - v)), None
+                for (lo, hi), block, norm in zip(cuts, columns, norms):
+                    mine = rq[asks, lo:hi]
+                    bound = limit * ((1 + eps / np.sqrt(hi)) ** 2 * hi / dim if hi < dim else 1) + slack[asks]
+                    if pairs is None:
+                        part += norm[None, v:w] + np.einsum("ij,ij->i", mine, mine)[:, None] - 2 * mine @ block[v:w].T
+                        alive = part <= bound[:, None]
+                        if hi == dim or np.count_nonzero(alive) < 0.4 * alive.size:
+                            pairs = np.nonzero(alive)
+                            part = part[pairs]
+                    else:
+                        diff = block[pairs[1] + v] - mine[pairs[0]]
+                        part = part + np.einsum("ij,ij->i", diff, diff)
+                        keep = part <= bound[pairs[0]]
+                        pairs, part = (pairs[0][keep], pairs[1][keep]), part[keep]
+                    if pairs is not None and not len(part):
+                        break
+                take(asks[pairs[0]], pairs[1] + v)
+            if waiting > 4 * k * len(qi):
+                settle()
+        settle()
+        out.append((held[0] + start, ids[held[1]], held[2]))
     return tuple(np.concatenate(z) for z in zip(*out))
 
 
@@ -135,24 +246,31 @@ def search(
     k: int = 20,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
-    probe: float = 0.75,
-    sample_rows: int = 20_000,
-    rows_per_list: int = 1000,
+    probe: float | None = None,
+    recall: float = RECALL,
+    sample_rows: int = 65_536,
     most_lists: int = 4096,
+    shard_vectors: int | None = None,
+    block_queries: int | None = None,
 ) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k largest inner products found for each query.
+    """(query_id, rank, vec_id, score): the k largest inner products found for each query row.
 
     The index is fitted on at most about ``sample_rows`` vectors, chosen by a
-    hash of the id, and holds all.  A query probes the share ``probe`` of the
-    lists, and further ones until these hold more than k other vectors.  Rows
-    that ``usable`` leaves out take no part; vectors whose length isn't the most
-    frequent one can't be compared and take none either.  Repeated ids are
-    candidates each; ties go to the smaller id.  No vectors: no rows.
+    hash of the id, and holds all: three times the square root of their number
+    of lists, of 40 vectors or more on average, and ``most_lists`` at most, beyond which
+    lists get longer.  A query
+    probes the share ``probe`` of the lists, by default the share that holds
+    ``recall`` of the neighbours within the sample, and further ones until these
+    hold more than k other vectors.  Rows that ``usable`` leaves out take no
+    part; vectors whose length isn't the most frequent one can't be compared and
+    take none either.  Repeated ids are candidates each, and query rows each: of
+    the candidates equal to a query in id and vector one is left out as its own
+    row.  Ties go to the smaller id.  No vectors: no rows.
     """
     spark = vectors.sparkSession
     v = usable(vectors, id_col, vector_col)
     facts = v.groupBy(F.size("v").alias("dim")).agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("sq")
+        F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))).alias("sq")
     )
     facts = facts.orderBy(F.desc("n"), "dim").limit(1).collect()
     schema = "query_id long, rank int, vec_id long, score double"
@@ -160,68 +278,81 @@ def search(
         return spark.createDataFrame([], schema)
     dim, n, longest = facts[0]["dim"], facts[0]["n"], float(np.sqrt(facts[0]["sq"]))
     v = v.where(F.size("v") == dim)
+    lists = int(max(1, min(most_lists, round(3 * n**0.5), n // 40)))
+    rows = min(sample_rows, max(4096, 24 * lists))
     u = F.pmod(F.xxhash64(F.lit("ann"), "id"), F.lit(1 << 30))
-    rows = v.where(u < int(min(1.0, sample_rows / n) * (1 << 30))).orderBy(u, "id").limit(2 * sample_rows).select("v").toPandas()
-    if not len(rows):
-        rows = v.limit(1).select("v").toPandas()
-    sample = np.stack(rows["v"].to_numpy())
-    lists = int(max(1, min(most_lists, len(sample), round(n / rows_per_list))))
+    drawn = v.where(u < int(min(1.0, rows / n) * (1 << 30))).orderBy(u, "id").limit(2 * rows).select("v").toPandas()
+    if not len(drawn):
+        drawn = v.limit(1).select("v").toPandas()
+    sample = _matrix(drawn["v"])
+    lists = min(lists, max(1, len(sample) // 4))
     index = Lists(sample, lists, longest)
+    share = probe_share(index, sample, k, recall) if probe is None else probe
     shipped = spark.sparkContext.broadcast(index)
 
     @F.pandas_udf("int")
     def assign(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield pd.Series(shipped.value.of_vectors(np.stack(s.to_numpy())) if len(s) else [], dtype="int32")
+            yield pd.Series(shipped.value.of_vectors(_matrix(s)) if len(s) else [], dtype="int32")
 
-    held = v.withColumn("list", assign("v"))
+    held = cut(v.withColumn("list", assign("v")))
     sizes = np.zeros(lists, np.int64)
     for row in held.groupBy("list").count().collect():  # one row per list, and lists are bounded
         sizes[row[0]] = row[1]
-    pieces = np.maximum(1, -(-sizes // BLOCK_VECTORS))
-    probes = int(np.ceil(lists * probe))
+    most = shard_vectors or int(np.clip(-(-n // 4), 8192, SHARD_VECTORS))
+    first, pieces = shards_of(index.centres, sizes, most)
+    probes = max(1, int(np.ceil(lists * share)))
 
-    @F.pandas_udf("array<int>")
-    def probed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("reach double, home int, shards array<int>")
+    def probed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
-            if not len(s):
-                yield pd.Series([], dtype=object)
-                continue
-            order = shipped.value.of_queries(np.stack(s.to_numpy()))
-            enough = np.cumsum(sizes[order], axis=1) > 2 * k
-            need = np.where(enough.any(axis=1), enough.argmax(axis=1) + 1, lists)
-            yield pd.Series([o[: max(probes, m)].tolist() for o, m in zip(order, need)])
-
-    q = usable(queries, id_col, vector_col).where(F.size("v") == dim)
-    asked = q.select(F.col("id").alias("qid"), F.col("v").alias("qv"), F.explode(probed("v")).alias("list"))
-    wanted = asked.groupBy("list").count()
-    sets = np.ones(lists, np.int64)
-    for row in wanted.collect():
-        sets[row[0]] = max(1, -(-row[1] // BLOCK_QUERIES))
-    of = F.array(*[F.lit(int(x)) for x in pieces]) if pieces.max() > 1 else None
-    qs = F.array(*[F.lit(int(x)) for x in sets]) if sets.max() > 1 else None
-    n_pieces = F.lit(1) if of is None else of[F.col("list")]
-    n_sets = F.lit(1) if qs is None else qs[F.col("list")]
-    left = held.select(
-        "list", "id", "v", F.pmod(F.xxhash64("id"), n_pieces).cast("int").alias("piece"),
-        F.explode(F.sequence(F.lit(0), n_sets - 1)).alias("set"),
-    )
-    right = asked.select(
-        "list", "qid", "qv", F.explode(F.sequence(F.lit(0), n_pieces - 1)).alias("piece"),
-        F.pmod(F.xxhash64("qid"), n_sets).cast("int").alias("set"),
+            out = []
+            for q in np.array_split(_matrix(s), -(-len(s) // STEP_QUERIES)) if len(s) else []:
+                far = shipped.value.to_lists(q)
+                order = np.argsort(far, axis=1, kind="stable")
+                enough = np.cumsum(sizes[order], axis=1) > k + 1
+                need = np.where(enough.any(axis=1), enough.argmax(axis=1) + 1, lists)
+                for row, o, m in zip(far, order, np.maximum(need, probes)):
+                    o = o[:m]
+                    at = np.unique(np.concatenate([first[o], *(np.arange(first[i], first[i] + pieces[i]) for i in o[pieces[o] > 1])]))
+                    home = first[o[np.argmax(sizes[o] > 0)]]
+                    out.append((row[o[-1]] + 1e-12 * shipped.value.longest**2, int(home), at[at != home].tolist()))
+            yield pd.DataFrame(out, columns=["reach", "home", "shards"])
+
+    # a number for each row of a query, kept with it
+    asked = usable(queries, id_col, vector_col).where(F.size("v") == dim).withColumn("p", probed("v"))
+    asked = cut(asked.select(F.monotonically_increasing_id().alias("row"), F.col("id").alias("qid"), F.col("v").alias("qv"), "p.*"))
+    n_asked = asked.count()
+    block = block_queries or int(np.clip(-(-n_asked // 4), 512, BLOCK_QUERIES))
+    places = spark.createDataFrame(pd.DataFrame({"list": np.arange(lists, dtype=np.int32), "first": first, "pieces": pieces}))
+    kept = held.join(F.broadcast(places), "list").select(  # one row per list
+        "list", "id", "v", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("pieces"))).cast("int").alias("shard")
     )
 
     def work(key: tuple, mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         if not len(mine) or not len(theirs):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            return pd.DataFrame({"row": [], "query_id": [], "vec_id": [], "score": []})
         a, b, c = scan(
-            mine["id"].to_numpy(), np.stack(mine["v"].to_numpy()), theirs["qid"].to_numpy(), np.stack(theirs["qv"].to_numpy()), shipped.value, k
+            mine["id"].to_numpy(), _matrix(mine["v"]), mine["list"].to_numpy(), theirs["qid"].to_numpy(), _matrix(theirs["qv"]),
+            theirs["reach"].to_numpy(np.float64), theirs["floor"].to_numpy(np.float64), shipped.value, k,
         )
-        return pd.DataFrame({"query_id": a, "vec_id": b, "score": c})
+        return pd.DataFrame({"row": theirs["row"].to_numpy()[a], "query_id": theirs["qid"].to_numpy()[a], "vec_id": b, "score": c})
+
+    def scanned(at: DataFrame) -> DataFrame:
+        sets = small(at.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("sets")))
+        left = kept.join(sets, "shard").withColumn("set", F.explode(F.sequence(F.lit(0), F.col("sets") - 1))).drop("sets")
+        right = at.join(sets, "shard").withColumn("set", F.pmod(F.xxhash64("row"), F.col("sets")).cast("int")).drop("sets")
+        keys = ["shard", "set"]
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(work, "row long, query_id long, vec_id long, score double")
 
-    keys = ["list", "piece", "set"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(work, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    none = F.lit(float("-inf"))
+    columns = ["row", "qid", "qv", "reach"]
+    near = cut(scanned(asked.select(*columns, none.alias("floor"), F.col("home").alias("shard"))))
+    floors = near.groupBy("row").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(none).alias("floor"))
+    others = asked.where(F.size("shards") > 0).join(floors, "row", "left")
+    others = others.select(*columns, F.coalesce("floor", none).alias("floor"), F.explode("shards").alias("shard"))
+    found = near.unionByName(scanned(others)) if first.max() > 0 or pieces.max() > 1 else near
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
