@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from voxmill.llm import ann, crossparse, decontam, htmltext, langid, mixing, pii, quality, simhash, urlfilter
+from voxmill.llm import ann, common, crossparse, decontam, htmltext, langid, mixing, pii, quality, simhash, urlfilter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, fp string, h long, s string, node int"
 LONG = "the quick brown fox jumps over the lazy dog again " * 4000
@@ -173,3 +173,72 @@ def test_urls(spark):
     assert out[7]["rule"] == "other.org/p/" and out[0]["url_host"] == "a.bad.com" and out[0]["host"] == "host"
     assert urlfilter.filter_urls(d.limit(0), e, "page_id").isEmpty()
     assert urlfilter.filter_urls(d, e.limit(0), "page_id").where("blocked").isEmpty()
+
+
+def test_bounded_filter_keeps_all_that_is_wanted(spark):
+    rng = random.Random(3)
+    hashes = [rng.getrandbits(64) - (1 << 63) for _ in range(400)]
+    probe = spark.createDataFrame([(i, h) for i, h in enumerate(hashes)], "id long, h long")
+    wanted = spark.createDataFrame([(h,) for h in hashes[:100]], "h long")
+    kept = {r["id"] for r in decontam.maybe(probe, wanted, buckets=64).collect()}
+    assert kept >= set(range(100)) and len(kept) < 200
+    assert decontam.maybe(probe, wanted.limit(0)).isEmpty()
+
+
+def test_decontamination_without_broadcast(docs, items, monkeypatch):
+    monkeypatch.setattr(decontam, "fits", lambda df: False)
+    out = {(r["id"], r["item_id"]): r["containment"] for r in decontam.contained(docs, items).collect()}
+    assert out == {(1, 1): 1.0, (2, 1): 1.0}
+
+
+def test_hot_keys_join_like_others(spark):
+    left = spark.createDataFrame([(1, i) for i in range(50)] + [(i, 0) for i in range(2, 20)] + [(None, 9)], "u long, x int")
+    right = spark.createDataFrame([(1, 5, 0.7), (2, 6, 0.0001), (3, 7, 0.5), (99, 8, 0.9)], "u long, m int, share double")
+    out = common.join_hot(left, right, "u", "share")
+    assert sorted(tuple(r) for r in out.collect()) == sorted((u, x, {1: 5, 2: 6, 3: 7}[u]) for u, x in [(1, i) for i in range(50)] + [(2, 0), (3, 0)])
+
+
+def test_components_with_hot_nodes(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    edges = [(0, i) for i in range(1, 40)] + [(50 + i, 51 + i) for i in range(9)] + [(39, 50)]
+    comp = {r["node"]: r["root"] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert set(comp.values()) == {0} and len(comp) == 50
+
+
+def test_broadcast_is_bounded_in_rows_and_bytes(spark):
+    d = spark.createDataFrame([(i, "x" * 1000, [1.0] * 10, ["ab"] * 5) for i in range(50)], "id long, s string, v array<double>, t array<string>")
+    assert common.fits(d, 50, 1 << 20) and not common.fits(d, 49, 1 << 20) and not common.fits(d, 50, 40_000)
+    assert common.fits(d.limit(0))
+
+
+def test_shared_folder_must_be_named_on_a_cluster(spark, monkeypatch):
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError):
+        common.shared_dir(Session())
+
+
+def test_swept_deletes_what_was_made_within(spark):
+    import os
+
+    with common.swept(spark):
+        path = common.scratch(spark, "x")
+        spark.range(3).write.parquet(path)
+        assert common.complete(spark, path)
+        folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+        before = set(os.listdir(folder))
+        common.cut(spark.range(3))
+        made = set(os.listdir(folder)) - before
+        assert made
+    assert not common.complete(spark, path) and not made & set(os.listdir(folder))

@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small, table
+from .common import cut, fits, small, table
 
 WIDTH = 5
 #: What separates words, beside letters, digits and marks.
@@ -59,6 +59,19 @@ def _hashes(words: Column, width: int = WIDTH) -> Column:
     )
 
 
+def maybe(probe: DataFrame, wanted: DataFrame, buckets: int = 1 << 17) -> DataFrame:
+    """The rows of probe whose ``h`` may be in ``wanted``: all that are, and few others.
+
+    A filter of 64 bits for each of ``buckets`` keys, so of bounded size.  It
+    keeps what isn't wanted out of the shuffle; hot shingles with it.
+    """
+    bucket = lambda h: F.pmod(h, F.lit(buckets)).cast("int")
+    bit = lambda: F.expr("shiftleft(1L, cast(pmod(shiftright(h, 24), 64) as int))")
+    bits = wanted.select(bucket(F.col("h")).alias("k"), bit().alias("b")).groupBy("k").agg(F.bit_or("b").alias("bits"))
+    keyed = probe.withColumn("k", bucket(F.col("h"))).join(F.broadcast(bits), "k")
+    return keyed.where(F.col("bits").bitwiseAND(bit()) != 0).select(*probe.columns)
+
+
 def contained(
     docs: DataFrame,
     items: DataFrame,
@@ -87,12 +100,15 @@ def contained(
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     d = d.where(F.col("id").isNotNull() & F.col("text").rlike(_WORD))
     probe = d.select("id", F.explode(_hashes(words(F.col("text")))).alias("h"))
-    hit = probe.join(small(sketch.select("h").distinct()), "h", "left_semi").distinct()
+    sketch = cut(sketch)
+    keys = sketch.select("h").distinct()
+    hit = probe.join(F.broadcast(keys), "h", "left_semi") if fits(keys) else maybe(probe, keys).join(keys, "h", "left_semi")
+    hit = hit.distinct()
     found = cut(hit.join(small(sketch), "h").select("id", "item_id").distinct())
 
     texts = d.join(small(found.select("id").distinct()), "id", "left_semi")
     held = texts.select("id", F.explode(F.array_distinct(shingles(words(F.col("text"))))).alias("s"))
-    held = held.join(small(i.select("s").distinct()), "s", "left_semi").distinct()
+    held = held.join(small(i.select("s").distinct()), "s", "left_semi").distinct()  # only documents that hold a sketch
     wanted = found.join(small(i.select("item_id", "s")), "item_id")
     shared = held.join(wanted, ["id", "s"]).groupBy("id", "item_id").agg(F.count(F.lit(1)).alias("shared"))
     out = shared.join(small(sizes), "item_id").where(F.col("shared") >= F.col("of") * threshold - 1e-9)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, table
+from .common import components, cut, join_hot, table
 
 BITS = 64
 #: Distinct fingerprints compared with each other in one piece of work.
@@ -166,22 +166,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Equal fingerprints are one class, named by its least id, before anything is
     compared; only classes that have a link take part in the rounds for
-    components.  Null and blank texts have fingerprint 0 and link like any
+    components.  Rows of a class with a large share of all rows aren't shuffled.  Null and blank texts have fingerprint 0 and link like any
     other.  Rows with a null id keep null, and name no component; a class of
     such rows alone has a null component.  Repeated rows each give a row.
     """
     rows = cut(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text").select("id", "fp"))
-    classes = rows.groupBy("fp").agg(F.min("id").alias("node"))
-    nodes = cut(classes)
-    usable = nodes.where("node is not null")
+    share = (F.count(F.lit(1)) / F.lit(max(rows.count(), 1))).alias("share")
+    nodes = cut(rows.groupBy("fp").agg(F.min("id").alias("node"), share))
+    usable = nodes.where("node is not null").select("fp", "node")
     # an id that repeats with other texts links their classes
     repeated = rows.where("id is not null").groupBy("id").agg(F.min("fp").alias("x"), F.max("fp").alias("y"))
     repeated = repeated.where("x != y").select("id")
     twins = rows.join(repeated, "id", "left_semi").join(usable, "fp").where("id != node")
     twins = twins.select(F.col("id").alias("a"), F.col("node").alias("b"))
     comp = components(near_links(usable, radius).unionByName(twins))
-    roots = nodes.join(comp, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return rows.join(roots, "fp").select("id", "fp", "component_id")
+    roots = cut(nodes.join(comp, "node", "left").select("fp", "share", F.coalesce("root", "node").alias("component_id")))
+    return join_hot(rows, roots, "fp", "share").select("id", "fp", "component_id")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
