@@ -49,7 +49,7 @@ def items(spark):
 def test_language(docs, none):
     model = langid.learn(docs)
     out = {(r["doc_id"], r["text"]): r for r in langid.identify(docs, model).collect()}
-    assert len(langid.identify(docs, model).columns) == len(docs.columns) + 3
+    assert len(langid.identify(docs, model).columns) == len(docs.columns) + 4
     assert out[3, None]["lang_pred"] == out[4, ""]["lang_pred"] == "und" and out[3, None]["lang_score"] == 0
     assert out[1, rows()[0][1]]["lang_pred"] == "en" and out[6, LONG]["lang_pred"] == "en"
     assert [r for r in out.values() if r["lang"] == "fr"][0]["lang_pred"] == "fr"

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import crc_remainder, table
 
 UND = "und"
+#: Standard errors by which a small share must exceed what false positives leave.
+NOISE = 4.0
 _B = np.uint64(0x9E3779B97F4A7C15)
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
 _M2 = np.uint64(0x94D049BB133111EB)
@@ -105,16 +107,18 @@ class LanguageFilters:
         share = np.array(counts) / len(h)
         return np.clip((share - self.false) / np.maximum(1 - self.false, 1e-9), 0, 1)
 
-    def predict(self, text: str | None, letters: np.ndarray) -> tuple[str, float, float]:
-        """(language, score, corrected share of that language)."""
+    def predict(self, text: str | None, letters: np.ndarray) -> tuple[str, float, float, bool]:
+        """(language, score, corrected share of that language, whether that is more than false positives explain)."""
         if not self.langs:
-            return UND, 0.0, 0.0
+            return UND, 0.0, 0.0, False
         s = self.shares(text, letters)
         if s is None:
-            return UND, 0.0, 0.0
+            return UND, 0.0, 0.0, False
         best = int(np.argmax(s))  # ties: the first in alphabetical order
-        total = float(s.sum())
-        return self.langs[best], (float(s[best]) / total if total else 0.0), float(s[best])
+        total, share, false = float(s.sum()), float(s[best]), self.false[best]
+        n = len(gram_hashes(text, self.orders, letters)) if 0 < share < 0.1 else 1  # a larger share needs no test
+        known = share > (NOISE * float(np.sqrt(false * (1 - false) / n)) if share < 0.1 else 0)
+        return self.langs[best], (share / total if total else 0.0), share, known
 
 
 def learn(
@@ -123,23 +127,25 @@ def learn(
     lang_col: str = "lang",
     id_col: str = "doc_id",
     docs_per_lang: int = 1500,
-    grams_per_lang: int = 12000,
     orders: tuple[int, ...] = (3, 5),
-    bits: int = 18,
+    rate: float = 0.1,
+    rows_per_gram: int = 16,
     hashes: int = 3,
 ) -> LanguageFilters:
     """Fit the filters on rows with a language and a text.
 
     Only a sample is read in full: of each language, rows whose id hashes below
     a threshold that leaves ``docs_per_lang`` rows on average.  n-grams are
-    counted once per document, within tasks first; the ``grams_per_lang`` most
-    frequent of each language that at least two documents hold (one, for a
-    language of a single sampled document) enter its filter.
+    counted once per document, within tasks first.  Every n-gram enters the
+    filters of the languages in which the share of documents that hold it is at
+    least ``rate`` times its largest; so those of a passage in another language
+    enter only that language's.  The filters' rows grow with the n-grams, of
+    which the sample bounds the number, and the driver takes hashes alone.
     """
     known = docs.where(F.col(lang_col).isNotNull())
     counts = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}
     if not counts:
-        return LanguageFilters({}, orders, bits, hashes)
+        return LanguageFilters({}, orders, 3, hashes)
     below = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, docs_per_lang / n))])
     u = F.pmod(F.xxhash64(F.lit("langid"), F.col(id_col)), F.lit(1 << 20)) / F.lit(float(1 << 20))
     sample = known.where(u < below[F.col(lang_col)]).select(
@@ -154,35 +160,36 @@ def learn(
                 h, n = np.unique(np.concatenate(hs), return_counts=True)
                 yield pd.DataFrame({"lang": lang, "h": h.view(np.int64), "n": n})
 
+    drawn = {r[0]: r[1] for r in sample.groupBy("lang").count().collect()}
+    if not drawn:
+        return LanguageFilters({}, orders, 3, hashes)
+    of = F.create_map(*[F.lit(x) for k, n in drawn.items() for x in (k, float(n))])
     per = sample.mapInPandas(count, "lang string, h long, n long")
-    total = per.groupBy("lang", "h").agg(F.sum("n").alias("n"))
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), "h")
-    top = total.withColumn("k", F.row_number().over(order)).where(F.col("k") <= grams_per_lang)
-    got = top.select("lang", "h", "n").toPandas()
-    grams = {}
-    for lang, g in got.groupby("lang"):
-        keep = g[g["n"] >= min(2, int(g["n"].max()))]
-        grams[lang] = keep["h"].to_numpy(np.int64).view(np.uint64)
-    return LanguageFilters(grams, orders, bits, hashes)
+    total = per.groupBy("lang", "h").agg((F.sum("n") / of[F.col("lang")]).alias("r"))
+    most = F.max("r").over(Window.partitionBy("h"))  # a row for each language
+    got = total.withColumn("most", most).where(F.col("r") >= F.col("most") * rate).select("lang", "h").toPandas()
+    grams = {lang: g["h"].to_numpy(np.int64).view(np.uint64) for lang, g in got.groupby("lang")}
+    largest = max(map(len, grams.values()), default=1)
+    return LanguageFilters(grams, orders, max(10, (largest * rows_per_gram - 1).bit_length()), hashes)
 
 
 def identify(docs: DataFrame, model: LanguageFilters, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred, lang_score and lang_share added (replacing columns of these names).
+    """docs with lang_pred, lang_score, lang_share and lang_known added (replacing columns of these names).
 
-    Null texts and texts without a letter: ``und``, 0, 0.  Every text is read
-    whole; each row depends on its text alone.
+    Null texts and texts without a letter: ``und``, 0, 0, false.  Every text is
+    read whole; each row depends on its text alone.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, lang_score double, lang_share double")
+    @F.pandas_udf("lang_pred string, lang_score double, lang_share double, lang_known boolean")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         letters, m = letter_table(), shipped.value
         for texts in batches:
             rows = [m.predict(t, letters) for t in texts]
-            yield pd.DataFrame(rows, columns=["lang_pred", "lang_score", "lang_share"])
+            yield pd.DataFrame(rows, columns=["lang_pred", "lang_score", "lang_share", "lang_known"])
 
     out = docs.withColumn("__p", predict(F.col(text_col)))
-    for c in ("lang_pred", "lang_score", "lang_share"):
+    for c in ("lang_pred", "lang_score", "lang_share", "lang_known"):
         out = out.withColumn(c, F.col(f"__p.{c}"))
     return out.drop("__p")
 
@@ -199,11 +206,11 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"), F.col("lang_share").alias("share"))
 
 
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, min_share: float = 0.1) -> DataFrame:
-    """Documents with an identified language: not ``und``, and at least ``min_share`` of n-grams known to it."""
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with an identified language: not ``und``, and more of its n-grams than false positives explain."""
     columns = docs.columns
     model = learn(docs.where(crc_remainder("doc_id", 4) != 2))
     named = docs.toDF(*[f"c{i}" for i in range(len(columns))])
     out = identify(named, model, f"c{columns.index('text')}")
-    kept = out.where((F.col("lang_pred") != UND) & (F.col("lang_share") >= min_share))
+    kept = out.where((F.col("lang_pred") != UND) & F.col("lang_known"))
     return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
