@@ -25,6 +25,20 @@ PIECE = 4096
 LEVEL = 3
 
 
+def pieces_of(texts: list[str | None]) -> list[bytes]:
+    """The texts in pieces of PIECE bytes, short ends with the piece before them, so that none is left out."""
+    out: list[bytes] = []
+    for text in texts:
+        data = (text or "").encode("utf-8", "surrogatepass")
+        for a in range(0, len(data), PIECE):
+            piece = data[a : a + PIECE]
+            if len(piece) < 8 and out:
+                out[-1] += b"\n" + piece
+            else:
+                out.append(piece)
+    return out
+
+
 def _params(size: int) -> zstandard.ZstdCompressionParameters:
     return zstandard.ZstdCompressionParameters.from_level(
         LEVEL, source_size=PIECE, dict_size=size, write_checksum=0, write_content_size=0, write_dict_id=0
@@ -65,10 +79,12 @@ class Scorer:
     def compressors(self) -> Compressors | None:
         return None if self.weights is None else Compressors(self.good, self.bad)
 
-    def score(self, text: str | None, tools: Compressors | None) -> float:
+    def judge(self, text: str | None, tools: Compressors | None) -> tuple[float, float]:
+        """Score and normalised difference of compressed sizes."""
         if tools is None:
-            return self.prior
-        return float(1 / (1 + np.exp(-np.clip(expand(np.array([tools.features(text)])) @ self.weights, -30, 30)))[0])
+            return self.prior, 0.0
+        x = tools.features(text)
+        return float(1 / (1 + np.exp(-np.clip(expand(np.array([x])) @ self.weights, -30, 30)))[0]), float(x[1])
 
 
 def expand(x: np.ndarray) -> np.ndarray:
@@ -97,8 +113,9 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int
 def train(texts: list[str], labels: np.ndarray, dict_size: int = 110_000, seed: int = 0) -> Scorer:
     """Dictionaries from half of the texts, calibration from the other half.
 
-    With one label only, or too little text for a dictionary, every text gets
-    the share of good labels (0.5 without labels).
+    A dictionary has ``dict_size`` bytes at most.  With one label only, or too
+    little text for a dictionary, every text gets the share of good labels (0.5
+    without labels).
     """
     if not len(labels):
         return Scorer(b"", b"", None, 0.5)
@@ -106,17 +123,13 @@ def train(texts: list[str], labels: np.ndarray, dict_size: int = 110_000, seed:
     half = np.random.default_rng(seed).permutation(len(labels)) % 2 == 0
     dicts = []
     for kind in (1, 0):
-        pieces = []
-        for i in np.flatnonzero(half & (labels == kind)):
-            data = (texts[i] or "").encode("utf-8", "surrogatepass")
-            pieces += [data[a : a + PIECE] for a in range(0, len(data), PIECE)]
-        pieces = [p for p in pieces if len(p) >= 8]
+        pieces = pieces_of([texts[i] for i in np.flatnonzero(half & (labels == kind))])
         total = sum(map(len, pieces))
         try:
             dicts.append(zstandard.train_dictionary(min(dict_size, max(256, total // 4)), pieces).as_bytes())
-        except (zstandard.ZstdError, ValueError):  # too few or too small samples: their text as it is
-            raw = b"".join(pieces)[-dict_size:]
-            if len(raw) < 8:
+        except (zstandard.ZstdError, ValueError):  # too few or too small samples: they are the dictionary
+            raw = b"".join(pieces)
+            if not 8 <= len(raw) <= dict_size:
                 return Scorer(b"", b"", None, prior)
             dicts.append(raw)
     good, bad = dicts
@@ -128,14 +141,19 @@ def train(texts: list[str], labels: np.ndarray, dict_size: int = 110_000, seed:
     return Scorer(good, bad, fit_logistic(expand(x), labels[rest]), prior)
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = 6000) -> Scorer:
-    """Fits on about ``rows`` labelled rows at most, half of each label where there are so many.
+def learn(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = 6000, size: int = 48 << 20
+) -> Scorer:
+    """Fits on about ``rows`` labelled rows at most, half of each label where there are so many, and ``size`` bytes of text.
 
-    Rows are chosen by a hash of their id.  What each label's share was taken
-    down to is made good in the calibration's intercept.  Ids with several
-    labels count with each; null labels and ids don't.
+    Rows are chosen by a hash of their id; where their texts are longer than
+    ``size`` together, those first by that hash are taken, of each label half of
+    the bytes.  What each label's share was taken down to is made good in the
+    calibration's intercept.  Repeated labels of an id count once, different ones
+    each; of an id's texts the first in order is taken.  Null labels and ids
+    don't count.
     """
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").distinct()
     counts = {r[0]: r[1] for r in known.groupBy("y").count().collect()}
     if not counts:
         return train([], np.empty(0))
@@ -145,7 +163,17 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for y, s in share.items():
         keep = keep | ((F.col("y") == y) & (u < s))
     picked = small(cut(known.where(keep)))  # so that texts aren't shuffled for it
-    got = picked.join(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id").orderBy("id", "y", "text").toPandas()
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    got = cut(picked.join(texts, "id").groupBy("id", "y").agg(F.min("text").alias("text")))
+    sizes = got.select("id", "y", u.alias("u"), F.octet_length("text").alias("b")).toPandas().sort_values(["y", "u", "id"])
+    inside = sizes[sizes.groupby("y")["b"].cumsum() <= size // 2]
+    for y in counts:
+        of = (sizes["y"] == y).sum()
+        share[y] *= (inside["y"] == y).sum() / of if of else 1.0
+    if len(inside) < len(sizes):
+        last = inside.groupby("y")["u"].max()
+        got = got.where(F.coalesce(F.lit(None), *[F.when((F.col("y") == int(y)) & (u <= float(v)), F.lit(True)) for y, v in last.items()], F.lit(False)))
+    got = got.orderBy("id", "y").toPandas()
     scorer = train(got["text"].tolist(), got["y"].to_numpy())
     total = sum(counts.values())
     if scorer.weights is None:
@@ -156,16 +184,21 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, scorer: Scorer, text_col: str = "text") -> DataFrame:
-    """docs with quality_score added.  Null texts score like empty ones."""
+    """docs with quality_score and quality_difference added (replacing columns of these names).
+
+    The difference is that of the sizes with the bad and the good dictionary,
+    over the size without one.  Null texts score like empty ones.
+    """
     shipped = docs.sparkSession.sparkContext.broadcast(scorer)
 
-    @F.pandas_udf("double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("score double, difference double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         tools = shipped.value.compressors()
         for texts in batches:
-            yield pd.Series([shipped.value.score(t, tools) for t in texts], dtype="float64")
+            yield pd.DataFrame([shipped.value.judge(t, tools) for t in texts], columns=["score", "difference"], dtype="float64")
 
-    return docs.withColumn("quality_score", run(F.col(text_col)))
+    out = docs.withColumn("__q", run(F.col(text_col)))
+    return out.withColumns({"quality_score": F.col("__q.score"), "quality_difference": F.col("__q.difference")}).drop("__q")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,5 +209,5 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.coalesce(crc_remainder("doc_id", 5) == 0, F.lit(False))
     return out.select(
         "doc_id", held.alias("held_out"), F.col("quality_score").alias("score"),
-        F.when(F.col("quality_score") >= 0.3, 1).otherwise(0).alias("predicted"),
+        F.when(F.col("quality_score") >= 0.3, 1).otherwise(0).alias("predicted"), F.col("quality_difference").alias("difference"),
     )
