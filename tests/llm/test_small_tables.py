@@ -101,7 +101,7 @@ def test_mixing_reaches_given_targets(spark):
     rng = random.Random(0)
     data = [(i, " ".join(["w"] * rng.randint(1, 9)), rng.choice("xy"), rng.choice(["en", "fr", None])) for i in range(200)]
     d = spark.createDataFrame(data, "doc_id long, text string, source string, lang string")
-    f = mixing.mix(mixing.features(d), {"source": {"x": 3, "y": 1}, "lang": {"en": 0.5, "fr": 0.5}}, rounds=20)
+    f = mixing.mix(mixing.features(d), {"source": {"x": 3, "y": 1}, "lang": {"en": 0.5, "fr": 0.5}})
     w = {r[0]: r[1] for r in f.groupBy("source").agg(F.sum("mix_weight")).collect()}
     assert abs(w["x"] / w["y"] - 3) < 1e-6
     assert f.where("lang is null and mix_weight > 0").isEmpty()
@@ -109,6 +109,39 @@ def test_mixing_reaches_given_targets(spark):
     assert abs(kept / f.agg(F.sum("mix_tokens")).first()[0] - 0.5) < 1e-9 and tokens > kept
 
 
+def test_mixing_keeps_columns_of_any_name(spark):
+    d = spark.createDataFrame([(i, "a b c", "x", "en", "mine", i, "p", i) for i in range(9)], "doc_id long, text string, source string, lang string, rate string, p long, tokens string, mix_weight long")
+    out = mixing.mix(mixing.features(d))
+    assert [r["rate"] for r in out.collect()] == ["mine"] * 9 and out.columns.count("mix_weight") == 1 and out.schema["mix_weight"].dataType.typeName() == "double"
+
+
+@pytest.mark.parametrize("few,literals", [(True, 256), (True, 0), (False, 0)])
+def test_raking_meets_its_targets_or_warns(spark, few, literals, monkeypatch):
+    monkeypatch.setattr(mixing, "fits", lambda df: few)
+    monkeypatch.setattr(mixing, "LITERALS", literals)
+    cells = spark.createDataFrame([(s, t, "z", float(n)) for s, t, n in [("a", "x", 50), ("a", "y", 30), ("b", "x", 20), ("b", "y", 40), ("c", "y", 9)]], "source string, lang string, topic string, tokens double")
+    goal = lambda dim, shares: spark.createDataFrame(list(shares.items()), f"{dim} string, target double")
+    out = mixing.rake(cells, {"source": goal("source", {"a": 0.2, "b": 0.5, "c": 0.1, "gone": 0.2}), "lang": goal("lang", {"x": 0.45, "y": 0.55})}, tolerance=1e-4, most_rounds=30)
+    for dim, want in (("source", {"a": 0.25, "b": 0.625, "c": 0.125}), ("lang", {"x": 0.45, "y": 0.55})):
+        for r in out.groupBy(dim).agg(F.sum("weight")).collect():
+            assert abs(r[1] - want[r[0]]) < 1e-4
+    with pytest.warns(UserWarning, match="can't all be met"):  # c has no x, so b and a can't give y this little
+        mixing.rake(cells, {"source": goal("source", {"a": 0.1, "b": 0.1, "c": 0.8}), "lang": goal("lang", {"x": 0.9, "y": 0.1})}, most_rounds=3)
+
+
+def test_topics_are_the_form_of_the_text_or_given(spark):
+    texts = ["plain words of prose in a row", "Licensed under CC BY. All else is prose", "a | b | c | d", "OH!! NO!! yes", "12 of 1990 34", "", None]
+    d = spark.createDataFrame([(i, t, "s", "en", f"t{i}") for i, t in enumerate(texts)], "doc_id long, text string, source string, lang string, subject string")
+    assert [r["mix_topic"] for r in mixing.features(d).orderBy("doc_id").collect()] == ["prose", "legal", "table", "noise", "figures", "none", "none"]
+    assert {r["mix_topic"] for r in mixing.features(d, topic_col="subject").collect()} == {f"t{i}" for i in range(7)}
+
+
+def test_reached_marginals_are_those_wanted_where_nothing_runs_out(spark):
+    d = spark.createDataFrame([(i, "w w w", "xy"[i % 2], "en") for i in range(100)], "doc_id long, text string, source string, lang string")
+    cells = mixing.plan(mixing.features(d), {"source": {"x": 0.6, "y": 0.4}})
+    assert all(abs(r["wanted"] - r["sampled"]) < 1e-9 for r in mixing.reached(cells, "source").collect())
+
+
 def test_calibration_gives_what_cells_that_run_out_cannot(spark):
     cells = spark.createDataFrame([(1.0, 100.0), (10.0, 3.0), (1000.0, 1.0), (0.0, 0.0)], "tokens double, rate double")
     c = mixing.calibrate(cells, 0.5)
