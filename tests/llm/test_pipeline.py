@@ -43,7 +43,7 @@ def test_stages(spark, sf, tmp_path):
             assert set(rows) == set(before) - bad
         if name == "pii":
             for i, r in before.items():
-                text, _ = pii.pseudonymise(r["text"])
+                text, _ = pii.pseudonymise(r["text"], pii.session_key(spark))
                 assert rows[i]["text"] == text and rows[i]["n_chars"] == len(text)
         if name == "mixing":
             assert set(rows) <= set(before) and 0.3 * len(before) < len(rows) < 0.8 * len(before)

@@ -150,8 +150,10 @@ def test_calibration_gives_what_cells_that_run_out_cannot(spark):
 
 
 def test_pii(docs, none):
-    out = pii.pseudonyms(docs)
-    assert out.count() == len(rows()) and pii.pseudonyms(none).isEmpty()
+    out = pii.pseudonyms(docs, b"k")
+    assert out.count() == len(rows()) and pii.pseudonyms(none, b"k").isEmpty()
+    with pytest.raises(ValueError):
+        pii.pseudonyms(docs, b"")
     same = {r["doc_id"]: r for r in out.collect()}
     assert same[6]["text"] == LONG and same[3]["text"] is None and same[3]["pii_kinds"] == []
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+import secrets
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-DEFAULT_KEY = b"voxmill-example-key"
+#: Names the secret in the session's configuration.
+KEY_SETTING = "spark.voxmill.pii.key"
 ROUNDS = 10
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
@@ -105,12 +107,25 @@ def _card(v: str, key: bytes, inverse: bool) -> str | None:
     return _fill(v, p + luhn_digit(p))
 
 
+#: Leading digits of country codes: the world's zones by ITU-T E.164, as (first digits, length of the code).
+_TWO = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+_NO_CODES = frozenset("210 214 215 217 219 259 28 292 293 294 295 296 384 388 422 424 425 426 427 428 429 693 694 695 696 697 698 699 801 802 803 804 805 806 807 809 83 851 854 857 858 859 871 872 873 874 875 876 877 879 884 885 887 889 89 969 978 990 997 999".split())
+
+
+def country_code(head: str) -> bool:
+    """Whether ``head``, + and digits, is a country code of E.164; no head is none needed."""
+    d = head.lstrip("+")
+    if not d or d in ("1", "7") or d in _TWO:
+        return True
+    return len(d) == 3 and d[:2] not in _TWO and d[0] not in "17" and d not in _NO_CODES and d[:2] not in _NO_CODES
+
+
 def _phone(v: str, key: bytes, inverse: bool) -> str | None:
-    """Keeps a leading + and country code; the national digits are permuted."""
+    """Keeps a leading + and country code, which must be one; the national digits, 7 or more and 15 with the code at most, are permuted."""
     m = re.match(r"\+\d{1,3}(?=[ .\-(])", v)
     head = m.group() if m else ""
     d = re.sub(r"\D", "", v[len(head) :])
-    if not 7 <= len(d) <= 12:
+    if not 7 <= len(d) <= 15 - len(head.lstrip("+")) or not country_code(head):
         return None
     return head + _fill(v[len(head) :], permute(d, key, b"phone" + head.encode(), inverse))
 
@@ -218,7 +233,7 @@ def _valid(text: str, m: re.Match, key: bytes, inverse: bool) -> tuple[str, int,
     return None
 
 
-def pseudonymise(text: str | None, key: bytes = DEFAULT_KEY, inverse: bool = False) -> tuple[str | None, list[tuple[str, int, int]]]:
+def pseudonymise(text: str | None, key: bytes, inverse: bool = False) -> tuple[str | None, list[tuple[str, int, int]]]:
     """The text with pseudonyms, and (kind, start, end) of each in the new text.
 
     Of a match that isn't valid the shorter runs of its groups are tried, then
@@ -244,7 +259,7 @@ def pseudonymise(text: str | None, key: bytes = DEFAULT_KEY, inverse: bool = Fal
     return ("".join([*out, text[at:]]), spans) if spans else (text, [])
 
 
-def restore(text: str, spans: list[tuple[str, int, int]], key: bytes = DEFAULT_KEY) -> str:
+def restore(text: str, spans: list[tuple[str, int, int]], key: bytes) -> str:
     """The original of a text with pseudonyms at the given places."""
     out, at = [], 0
     for kind, a, b in spans:
@@ -253,12 +268,31 @@ def restore(text: str, spans: list[tuple[str, int, int]], key: bytes = DEFAULT_K
     return "".join([*out, text[at:]])
 
 
-def pseudonyms(docs: DataFrame, text_col: str = "text", key: bytes = DEFAULT_KEY) -> DataFrame:
+_drawn: dict[str, bytes] = {}
+
+
+def session_key(spark: SparkSession) -> bytes:
+    """The secret of the session's configuration; without one, a key drawn for this application alone.
+
+    With a drawn key values stay linked within the application, and nobody can
+    undo the pseudonyms once it has ended.  The key goes to tasks with their
+    code, so a task that runs again writes the same.
+    """
+    set_to = spark.conf.get(KEY_SETTING, None)
+    if set_to:
+        return hashlib.blake2b(set_to.encode(), digest_size=32).digest()
+    return _drawn.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
+
+
+def pseudonyms(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
     """docs with text replaced, and pii_kinds, pii_starts and pii_ends added, by code points of the new text.
 
-    Null texts stay null with empty lists.  Rows depend on their text and the key alone.
+    Raises without a key.  Null texts stay null with empty lists.  Rows depend on their text and the key alone.
     """
 
+    if not key:
+        raise ValueError("pseudonyms need a key")
+
     @F.pandas_udf("text string, kinds array<string>, starts array<int>, ends array<int>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
@@ -276,7 +310,7 @@ def pseudonyms(docs: DataFrame, text_col: str = "text", key: bytes = DEFAULT_KEY
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with pseudonyms, and where they are."""
-    out = pseudonyms(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = pseudonyms(table(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark))
     return out.select("doc_id", "text", F.size("pii_kinds").alias("n_replaced"), "pii_kinds", "pii_starts", "pii_ends")
 
 
@@ -285,7 +319,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     columns = docs.columns
     at = {c: f"c{i}" for i, c in enumerate(columns)}
     d = docs.toDF(*at.values()).withColumn("__old", F.length(at["text"]))
-    out = pseudonyms(d, at["text"])
+    out = pseudonyms(d, session_key(spark), at["text"])
     if "n_chars" in at:
         n = F.col(at["n_chars"])
         new = F.length(at["text"]).cast(docs.schema["n_chars"].dataType)
