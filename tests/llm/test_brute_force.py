@@ -271,7 +271,7 @@ def test_html_that_is_broken(page):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "events"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     df = QUERIES[name](spark, sf)
     r = con.execute(ORACLE_SQL[name])

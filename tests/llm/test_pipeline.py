@@ -2,6 +2,8 @@
 
 import re
 
+import pytest
+
 import corpus_pipeline
 from voxmill.llm import pii, simhash
 from voxmill.llm.common import table
@@ -56,3 +58,25 @@ def test_stages(spark, sf, tmp_path):
 def test_run(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert {"doc_id", "text", "mix_probability"} <= set(out.columns) and out.count() > 0
+
+
+def test_run_goes_on_where_it_was(spark, sf, tmp_path, monkeypatch):
+    first = corpus_pipeline.run(spark, sf, str(tmp_path))
+    want = sorted(r["doc_id"] for r in first.collect())
+    done = {name for name, _ in corpus_pipeline.STAGES[:-1]}
+
+    def never(*_):
+        raise AssertionError("this stage is complete")
+
+    import shutil
+
+    shutil.rmtree(tmp_path / f"{len(done)}-{corpus_pipeline.STAGES[-1][0]}")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, never if n in done else f) for n, f in corpus_pipeline.STAGES])
+    assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, sf, str(tmp_path)).collect()) == want
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None, None, None, None)] * 3 + [(1, None, "en", "a", None)]])
+def test_run_of_an_empty_or_null_table(spark, sf, tmp_path, rows):
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).isEmpty()

@@ -277,3 +277,49 @@ def test_swept_deletes_what_was_made_within(spark):
         made = set(os.listdir(folder)) - before
         assert made
     assert not common.complete(spark, path) and not made & set(os.listdir(folder))
+
+
+def test_url_filters_like_brute_force(spark):
+    """Many rules of a host, many changes of a rule, times at every border."""
+    import datetime
+
+    rng, day = random.Random(4), lambda n: datetime.datetime(2023, 12, 1) + datetime.timedelta(hours=n)
+    names, folders = ["x.org", "a.x.org", "b.a.x.org", "y.net"], [None, "/", "/p", "/p/", "/p/q", "/w/"]
+    listed = [(rng.choice(names), rng.choice(folders), rng.choice(["s", "t"]), rng.choice(["add", "remove"]), day(rng.randint(0, 3000))) for _ in range(160)]
+    pages = [(i, f"http://{rng.choice(names + ['c.y.net', 'z.com'])}{rng.choice(['', '/', '/p', '/p/q/r', '/w/1', '/v'])}", day(rng.choice([rng.randint(0, 3100), e[4] and rng.randint(0, 3000)]))) for i, e in enumerate(rng.choices(listed, k=300))]
+    pages += [(300 + i, f"http://{d}{f or '/'}", t) for i, (d, f, _, _, t) in enumerate(listed)]
+
+    def on(rule, t):
+        state = {}
+        for d, f, c, a, at in listed:
+            if (d, f or "/", c) == rule and at <= t:
+                state.setdefault(at, []).append(a)
+        return bool(state) and "remove" not in state[max(state)]
+
+    def judge(url, t):
+        h, p = url.removeprefix("http://").partition("/")[0], "/" + url.removeprefix("http://").partition("/")[2]
+        rules = {(d, f or "/", c) for d, f, c, _, _ in listed if (h == d or h.endswith("." + d)) and p.startswith(f or "/")}
+        active = sorted((r for r in rules if on(r, t)), key=lambda r: (-len(r[0]), -len(r[1]), r[2], r[0]))
+        return (active[0][0] + active[0][1], active[0][2]) if active else (None, None)
+
+    d = spark.createDataFrame(pages, "page_id long, url string, fetched_at timestamp")
+    e = spark.createDataFrame(listed, "domain string, prefix string, category string, action string, at timestamp")
+    out = {r["page_id"]: (r["rule"], r["category"]) for r in urlfilter.filter_urls(d, e, "page_id").collect()}
+    want = {i: judge(u, t) for i, u, t in pages}
+    assert out == want and sum(r is not None for r, _ in want.values()) > 100
+
+
+def test_blocks_of_time_leave_no_rest(spark):
+    import datetime
+
+    rng, start = random.Random(5), datetime.datetime(1969, 12, 1)
+    some = lambda: start + datetime.timedelta(seconds=rng.choice([60, 10**5, 10**9]) * rng.random())
+    rows = [(i, *sorted([some(), some()]), some()) for i in range(200)]
+    d = spark.createDataFrame(rows, "i long, a timestamp, b timestamp, t timestamp")
+    d = d.select("i", "a", "b", "t", urlfilter.covering(F.col("a"), F.col("b")).alias("c"), urlfilter.covering(F.col("a"), F.lit(None).cast("timestamp")).alias("o"), urlfilter.blocks_of(F.col("t")).alias("x"))
+    for r in d.collect():
+        held, open_, of = set(map(tuple, r["c"])), set(map(tuple, r["o"])), set(map(tuple, r["x"]))
+        assert len(held) == len(r["c"]) < 300
+        if r["a"] <= r["t"] < r["b"]:
+            assert len(held & of) == 1
+        assert len(held & of) <= 1 and (len(open_ & of) == 1) >= (r["t"] >= r["a"])
