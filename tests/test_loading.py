@@ -177,5 +177,5 @@ def test_pixel_shuffle_query_keeps_the_values(spark, sf):
 
 
 def test_sampler_takes_every_customer(spark, sf):
-    test_sql(spark, sf, "sampler_customers")
-    assert catalogue.QUERIES["sampler_customers"](spark, sf).count() == spark.read.parquet(f"{sf}/customer.parquet").count()
+    test_sql(spark, sf, "sampler")
+    assert catalogue.QUERIES["sampler"](spark, sf).count() == spark.read.parquet(f"{sf}/customer.parquet").count()

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from dataclasses import replace
 
 import numpy as np
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +21,10 @@ from .functions import matrix as mx
 from .functions.rng import DiscreteParameter, NormalParameter, UniformParameter
 from .functions.spec import TensorSpec
 from .operators.base import Samples
+from .operators.compose import as_ragged
+from .plans.index import dense_index
 from .plans.loader import DataLoader
-from .sources.dataset import Dataset, images
+from .sources.dataset import AsyncDataset, Dataset, images
 from .streaming import windowed_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -494,16 +497,10 @@ def subset(spark, sf_dir):
     return _orders(spark, sf_dir).get_subset([5, 3, 3, 0, 99]).df.select("sample_id", "o_orderkey")
 
 
-@query("sampler", f"SELECT pos // 8 AS batch_id, pos, o_orderkey FROM {_ORDERS} o JOIN (SELECT c_custkey AS pos, (c_custkey * 7) % 150 AS i FROM customer WHERE c_custkey < 100) s ON o.sample_id = s.i")
-def sampler(spark, sf_dir):
-    index = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey < 100").select(F.col("c_custkey").alias("pos"), ((F.col("c_custkey") * 7) % 150).alias("sample"))
-    return DataLoader(_orders(spark, sf_dir), 8, sampler=index).samples().df.select("batch_id", "pos", "o_orderkey")
-
-
-@query("sampler_customers", f"""
+@query("sampler", f"""
 SELECT pos // 8 AS batch_id, pos, o_orderkey FROM {_ORDERS} o
 JOIN (SELECT c_custkey AS pos, (c_custkey * 7) % (SELECT count(*) FROM orders) AS i FROM customer) s ON o.sample_id = s.i""")
-def sampler_customers(spark, sf_dir):
+def sampler(spark, sf_dir):
     """A sample for every customer, from all orders."""
     orders = _orders(spark, sf_dir)
     key = F.col("c_custkey")
@@ -516,10 +513,48 @@ def batch_sampler(spark, sf_dir):
     return DataLoader(_orders(spark, sf_dir), batch_sampler=[[1, 2], [3, 9]]).samples().df.select("batch_id", "pos", "o_orderkey")
 
 
-@query("extend_rows", "SELECT c_custkey * 4 + k AS sample_id, c_custkey, k FROM customer, (SELECT unnest(range(4)) AS k)")
+def _named(path: str) -> list[dict]:
+    """The rows of a table's file, as a load function gives them."""
+    key, name = ("c_custkey", "c_name") if "customer" in path else ("s_suppkey", "s_name")
+    t = pq.read_table(path.removeprefix("file:"), columns=[key, name]).sort_by(key)
+    return [{"key": k, "name": n} for k, n in zip(t[key].to_pylist(), t[name].to_pylist())]
+
+
+@query("extend_rows", """
+SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS sample_id, c_custkey AS key, c_name AS name FROM customer
+UNION ALL SELECT (SELECT count(*) FROM customer) + row_number() OVER (ORDER BY s_suppkey) - 1, s_suppkey, s_name FROM supplier""")
 def extend_rows(spark, sf_dir):
-    df = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.posexplode(F.sequence(F.lit(0), F.lit(3))).alias("k", "x"))
-    return df.select((F.col("c_custkey") * 4 + F.col("k")).alias("sample_id"), "c_custkey", F.col("k").cast("long").alias("k"))
+    """Every file gives many samples, in the order of the paths."""
+    paths = [f"{sf_dir}/{t}.parquet" for t in ("supplier", "customer")]
+    return AsyncDataset(spark, paths, _named, "key long, name string", mode="extend").df.select("sample_id", "key", "name")
+
+
+@query("append_rows", """
+SELECT 0::BIGINT AS sample_id, count(*) AS n, max(c_custkey) AS last FROM customer UNION ALL SELECT 1, count(*), max(s_suppkey) FROM supplier""")
+def append_rows(spark, sf_dir):
+    """Every file gives one sample."""
+    paths = [f"{sf_dir}/{t}.parquet" for t in ("supplier", "customer")]
+    return AsyncDataset(spark, paths, _summary, "n long, last long").df.select("sample_id", "n", "last")
+
+
+def _summary(path: str) -> dict:
+    rows = _named(path)
+    return {"n": len(rows), "last": rows[-1]["key"] if rows else None}
+
+
+@query("dense_order_numbers", "SELECT o_orderkey * o_orderkey AS k, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders")
+def dense_order_numbers(spark, sf_dir):
+    """Dense numbers of ids that are spread unevenly."""
+    d = spark.read.parquet(f"{sf_dir}/orders.parquet").select((F.col("o_orderkey") * F.col("o_orderkey")).alias("k"))
+    return dense_index(d, "k", "i")
+
+
+@query("norm_ragged_channels", f"""
+SELECT vec_id, pos::INTEGER AS pos, round((e - min(e) OVER w) / (max(e) OVER w - min(e) OVER w + 1e-8), 6) + 0 AS v FROM {X} WINDOW w AS (PARTITION BY vec_id, pos // 16)""")
+def norm_ragged_channels(spark, sf_dir):
+    """Samples whose shapes aren't known when planning keep one range a channel."""
+    s = batched(spark, sf_dir, CHANNELS)
+    return long(ops.NormMinMax()(as_ragged(s, "data")))
 
 
 @query("loader_transforms", f"""
@@ -584,7 +619,12 @@ def pipeline_pretraining(spark, sf_dir):
     s = s.with_column("pristine", F.col("data"), s.spec("data"))
     s = ops.Compose(ops.Mirror((0, 1, 2), keys=("data", "pristine")), ops.RandomBezierTransform(), ops.InvertAmplitude(0.1), ops.RandomInOrOutpainting())(s)
     x = F.col("data.data") if s.specs["data"].ragged else F.col("data")
-    return s.df.select(F.col("sample_id").alias("vec_id"), F.size(x).alias("n"), F.size("pristine").alias("m"))
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, e: a + e), 6)
+    place = lambda c: F.round(F.aggregate(F.transform(c, lambda e, i: e * (i + 1)), F.lit(0.0), lambda a, e: a + e), 4)
+    return s.df.select(
+        F.col("sample_id").alias("vec_id"), F.size(x).alias("n"), F.size("pristine").alias("m"), total(x).alias("total"), place(x).alias("moment"),
+        total(F.col("pristine")).alias("pristine_total"), place(F.col("pristine")).alias("pristine_moment"),
+    )
 
 
 BENCH = ["flagship", "norm_zscore_channels", "rot90_random", "resize_bilinear", "affine_rotate_random", "gaussian_smoothing", "noise_gaussian", "dropout_compose",

@@ -187,10 +187,41 @@ def to_list_array(x: np.ndarray, valid: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), flat, mask=pa.array(~valid) if not valid.all() else None)
 
 
+def mapped(df: DataFrame, key: str, kind: T.DataType, fn: Callable[..., pa.Array], *params: Column, to: str | None = None) -> DataFrame:
+    """df with column ``to``, by default ``key`` itself, made by fn(values of key, *params) on Arrow batches."""
+    to = to or key
+    names = [f"__p{i}" for i in range(len(params))]
+    given = df.withColumns(dict(zip(names, params))) if params else df
+    fields = [T.StructField(f.name, kind if f.name == to else f.dataType) for f in df.schema.fields]
+    if to not in df.columns:
+        fields.append(T.StructField(to, kind))
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            extra = [columns.pop(n) for n in names]
+            columns[to] = fn(columns[key], *extra)
+            yield pa.RecordBatch.from_pydict(columns)
+
+    # A node of its own, not a function in a projection: those don't run where the optimiser merges lambdas into their arguments.
+    return given.mapInArrow(over, T.StructType(fields))
+
+
+def lists_of(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Flat values of a list array without nulls, and where each list ends."""
+    return a.flatten().to_numpy(zero_copy_only=False), np.cumsum(a.value_lengths().to_numpy(zero_copy_only=False)) if len(a) else np.empty(0, int)
+
+
+def list_array(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    ends = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else [], kind))
+
+
 def kernel(s: Samples, key: str, fn: Callable[..., np.ndarray], out: TensorSpec, *params: Column) -> Samples:
     """fn(batch [N, C, ...], *params [N, ...]) as one Arrow call per batch of rows.
 
-    With a ragged input or output, fn gets one sample a time.  Null samples stay null.
+    With a ragged input or output, fn gets the samples of one shape and equal
+    parameters together.  Null samples stay null.
     """
     spec = s.spec(key)
     kind = _RAGGED_TYPE if out.ragged else T.ArrayType(T.DoubleType())
@@ -201,38 +232,42 @@ def kernel(s: Samples, key: str, fn: Callable[..., np.ndarray], out: TensorSpec,
             return a.flatten().to_numpy(zero_copy_only=False).reshape(len(a), -1)
         return a.to_numpy(zero_copy_only=False)
 
+    def grouped(x: pa.Array, given: list[np.ndarray]) -> list[np.ndarray]:
+        """fn's result for each valid sample; equal shapes and parameters are one call."""
+        if spec.ragged:
+            shapes, at = lists_of(x.field("shape"))
+            shapes = [tuple(p.tolist()) for p in np.split(shapes, at[:-1])] if len(at) else []
+            values, ends = lists_of(x.field("data"))
+        else:
+            (values, ends), shapes = lists_of(x), [spec.fixed] * len(x)
+        rows = np.split(values.astype(float, copy=False), ends[:-1]) if len(ends) else []
+        groups: dict[tuple, list[int]] = {}
+        for n, shape in enumerate(shapes):
+            groups.setdefault((shape, *(np.ascontiguousarray(g[n]).tobytes() for g in given)), []).append(n)
+        result: list = [None] * len(rows)
+        for (shape, *_), members in groups.items():
+            made = fn(np.stack([rows[n] for n in members]).reshape(len(members), *shape), *[g[members] for g in given])
+            for n, y in zip(members, made):
+                result[n] = np.asarray(y, float)
+        return result
+
     def run(x: pa.Array, *extra: pa.Array) -> pa.Array:
         valid = x.is_valid().to_numpy(zero_copy_only=False)
         given = [numbers(p, valid) for p in extra]
         if spec.ragged or out.ragged:
-            rows, n = [], -1
-            for item in x.to_pylist():
-                if item is None:
-                    rows.append(None)
-                    continue
-                n += 1
-                shape, data = (item["shape"], item["data"]) if spec.ragged else (spec.fixed, item)
-                y = fn(np.array(data, float).reshape(1, *shape), *[g[n : n + 1] for g in given])[0]
-                rows.append({"shape": list(y.shape), "data": y.ravel().tolist()} if out.ragged else y.ravel().tolist())
-            return pa.array(rows, pa.struct([("shape", pa.list_(pa.int32())), ("data", pa.list_(pa.float64()))]) if out.ragged else pa.list_(pa.float64()))
+            made = grouped(x.filter(pa.array(valid)), given)
+            flat = list_array([y.ravel() for y in made], pa.float64())
+            if out.ragged:
+                shapes = list_array([np.array(y.shape, np.int32) for y in made], pa.int32())
+                flat = pa.StructArray.from_arrays([shapes, flat], names=["shape", "data"])
+            place = np.where(valid, np.cumsum(valid) - 1, 0)
+            return flat.take(pa.array(place, pa.int64(), mask=~valid))
         data = x.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(-1, *spec.fixed)
         if not len(data):
             return pa.nulls(len(x), pa.list_(pa.float64()))
         return to_list_array(np.asarray(fn(data, *given), float), valid)
 
-    names = [f"__p{i}" for i in range(len(params))]
-    df = s.df.withColumns(dict(zip(names, params))) if params else s.df
-    fields = [T.StructField(f.name, kind if f.name == key else f.dataType) for f in s.df.schema.fields]
-
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            columns[key] = run(columns[key], *[columns.pop(n) for n in names])
-            yield pa.RecordBatch.from_pydict(columns)
-
-    # A node of its own, not a function in a projection: those don't run where the optimiser merges lambdas into their arguments.
-    out_df = df.mapInArrow(over, T.StructType(fields))
-    return replace(s, df=out_df, specs={**s.specs, key: out})
+    return replace(s, df=mapped(s.df, key, kind, run, *params), specs={**s.specs, key: out})
 
 
 class BaseTransform(KeyedTransform):
@@ -328,5 +363,5 @@ class BatchTransform(Transform):
 
 __all__ = [
     "RAGGED", "AbstractTransform", "BaseTransform", "BaseTransformSeeded", "BatchTransform", "KeyedTransform", "PerChannelTransform",
-    "PerSampleTransform", "Samples", "Transform", "UDFTransform", "bound", "constant", "elementwise", "gather", "kernel", "over_batch", "per_channel", "sampled", "values", "with_values",
+    "PerSampleTransform", "Samples", "Transform", "UDFTransform", "bound", "constant", "elementwise", "gather", "kernel", "list_array", "lists_of", "mapped", "over_batch", "per_channel", "sampled", "values", "with_values",
 ]

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import gather as maps
 from ..functions.spec import RAGGED, TensorSpec
-from .base import KeyedTransform, Samples, Transform, bound, gather, kernel, values, with_values
+from .base import KeyedTransform, Samples, Transform, bound, gather, kernel, lists_of, mapped, to_list_array, values, with_values
 
 _INTEGERS = (T.LongType, T.IntegerType, T.ShortType, T.ByteType)
 
@@ -183,8 +184,8 @@ class Permute(Transform):
 class SegToBox(Transform):
     """{segmentation key: box key}: boxes of the instances 1, 2, ... as [low..., high...], inclusive.
 
-    An id that lacks below the largest gives a null box.  Works on a row at a
-    time: coordinates come from positions, so nothing is shuffled.
+    An id that lacks below the largest gives a null box.  One look at each
+    value, whatever the number of instances; nothing is shuffled.
     """
 
     def __init__(self, keys: dict[str, str], name=None):
@@ -192,27 +193,27 @@ class SegToBox(Transform):
 
     def apply(self, s):
         s.need(list(self.keys))
+        kind = T.ArrayType(T.ArrayType(T.DoubleType()))
         for key, to in self.keys.items():
-            spec = s.spec(key)
-            d = spec.ndim
-            strides = [int(np.prod(spec.spatial[i + 1 :], dtype=int)) for i in range(d)]
-            x, size = F.col(key), int(np.prod(spec.spatial, dtype=int))
-
-            def box(y: Column, i: Column) -> Column:
-                at = F.filter(F.transform(y, lambda e, p: F.when(e == i, p)), lambda p: p.isNotNull())
-
-                def lines(v: Column) -> list[Column]:
-                    def line(n: int, t: int) -> Column:
-                        return F.transform(v, lambda p: ((p % size) / t).cast("int") % n)
-
-                    return [line(n, t) for n, t in zip(spec.spatial, strides)]
-
-                return bound(at, lambda v: F.when(F.size(v) > 0, F.array(*[F.array_min(c) for c in lines(v)], *[F.array_max(c) for c in lines(v)]).cast("array<double>")))
-
-            top = F.array_max(x).cast("int")
-            found = bound(x, lambda y: F.transform(F.sequence(F.lit(1), F.array_max(y).cast("int")), lambda i: box(y, i)))
-            boxes = F.when(top >= 1, found).otherwise(F.array().cast("array<array<double>>"))
-            s = s.with_column(to, F.when(x.isNotNull(), boxes))
+            spatial = tuple(s.spec(key).spatial)
+
+            def boxes(v: np.ndarray) -> list | None:
+                top = int(v.max()) if len(v) and v.max() >= 1 else 0
+                at = np.flatnonzero((v >= 1) & (v == np.floor(v)))
+                ids = v[at].astype(np.int64) - 1
+                low, high = np.full((top, len(spatial)), np.inf), np.full((top, len(spatial)), -np.inf)
+                for k, place in enumerate(np.unravel_index(at % max(int(np.prod(spatial)), 1), spatial)):
+                    np.minimum.at(low[:, k], ids, place)
+                    np.maximum.at(high[:, k], ids, place)
+                return [[*a, *b] if np.isfinite(a[0]) else None for a, b in zip(low.tolist(), high.tolist())]
+
+            def run(x: pa.Array) -> pa.Array:
+                valid = x.is_valid().to_numpy(zero_copy_only=False)
+                flat, ends = lists_of(x.filter(pa.array(valid)))
+                rows = iter(np.split(flat, ends[:-1]) if len(ends) else [])
+                return pa.array([boxes(next(rows)) if ok else None for ok in valid], pa.list_(pa.list_(pa.float64())))
+
+            s = s.with_df(mapped(s.df, key, kind, run, to=to))
         return s
 
 
@@ -227,24 +228,26 @@ class BoxToSeg(Transform):
         d, spec = len(self.shape), TensorSpec((1, *self.shape))
         if d not in (2, 3):
             raise TypeError("boxes have 2 or 3 dimensions")
-        strides = [int(np.prod(self.shape[i + 1 :], dtype=int)) for i in range(d)]
         for key, to in self.keys.items():
-            boxes = F.col(key)
-
-            def pixel(held: Column, p: Column) -> Column:
-                at = [(p / t).cast("int") % n for n, t in zip(self.shape, strides)]
-
-                def over(acc: Column, b: Column) -> Column:
-                    inside = F.lit(True)
-                    for i, c in enumerate(at):
-                        inside = inside & (c >= b[i]) & (c <= b[i + d])
-                    return F.struct((acc["n"] + 1).alias("n"), F.when(inside, acc["n"] + 1).otherwise(acc["id"]).alias("id"))
-
-                return F.aggregate(held, F.struct(F.lit(0).alias("n"), F.lit(0).alias("id")), over, lambda a: a["id"])
-
-            places = F.sequence(F.lit(0), F.lit(spec.size - 1))
-            seg = bound(boxes, lambda held: F.transform(places, lambda p: pixel(held, p))).cast(f"array<{self.dtype}>")
-            s = s.with_column(to, F.when(boxes.isNotNull(), seg), spec)
+            shape, size = self.shape, spec.size
+
+            def drawn(held: list, shape: tuple[int, ...] = shape) -> np.ndarray:
+                out = np.zeros(shape)
+                for i, b in enumerate(held, 1):
+                    if b is not None and None not in b:
+                        low, high = np.maximum(np.ceil(b[:d]), 0).astype(int), np.floor(b[d:]).astype(int) + 1
+                        out[tuple(slice(a, max(c, a)) for a, c in zip(low, high))] = i
+                return out.ravel()
+
+            def run(x: pa.Array, size: int = size, drawn: Callable = drawn) -> pa.Array:
+                valid = x.is_valid().to_numpy(zero_copy_only=False)
+                rows = np.zeros((int(valid.sum()), size))
+                for n, held in enumerate(x.filter(pa.array(valid)).to_pylist()):
+                    rows[n] = drawn(held)
+                return to_list_array(rows, valid)
+
+            s = s.with_df(mapped(s.df, key, T.ArrayType(T.DoubleType()), run, to=to))
+            s = s.with_column(to, F.col(to).cast(f"array<{self.dtype}>"), spec)
         return s
 
 

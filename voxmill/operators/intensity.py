@@ -86,7 +86,13 @@ class _Norm(KeyedTransform):
     def change(self, s, key, op):
         if self.per_channel and not s.spec(key).ragged:
             return per_channel(s, key, lambda x, c: self.norm(x, s, op))
-        return with_values(s, key, self.norm(values(s, key).cast("array<double>"), s, op))
+        x = values(s, key).cast("array<double>")
+        if not self.per_channel:
+            return with_values(s, key, self.norm(x, s, op))
+        channels = F.col(f"{key}.shape")[0]  # samples of several shapes: as many as each has
+        n = (F.size(x) / channels).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), channels - 1), lambda c: self.norm(F.slice(x, c * n + 1, n), s, op))
+        return with_values(s, key, F.when(F.size(x) > 0, F.flatten(parts)).otherwise(x))
 
 
 class NormRange(_Norm):

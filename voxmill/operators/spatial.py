@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Callable, Sequence
+from functools import partial
 
 import numpy as np
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import gather as maps
 from ..functions import kernels
 from ..functions.rng import AbstractParameter, UniformParameter
 from ..functions.spec import RAGGED, TensorSpec, per_dim
-from .base import KeyedTransform, Samples, bound, constant, elementwise, gather, kernel, over_batch, sampled
+from .base import MAP_LITERALS, KeyedTransform, Samples, bound, constant, elementwise, gather, kernel, over_batch, sampled
 from .compose import conditionally
 
 
@@ -21,6 +23,10 @@ def _pairs(dims: Sequence[int]) -> list[tuple[int, ...]]:
     return list(itertools.combinations(dims, 2)) if len(dims) > 2 else [tuple(dims)]
 
 
+def _taken(index: Column, v: Column) -> Column:
+    return F.transform(index, lambda i: F.get(v, i))
+
+
 class _RandomGather(KeyedTransform):
     """One of several gather maps, drawn for each batch, or none with probability 1 - prob."""
 
@@ -51,6 +57,14 @@ class _RandomGather(KeyedTransform):
         if self.deterministic():
             return one(options[0])(s)
         on, u, n = s.draws(op).column(0) < float(self.prob), s.draws(op).column(1), len(options)
+        drawn = {key: [fn(s.spec(key)) for fn in options] for key in self.keys if not s.spec(key).ragged}
+        if all(key in drawn and all(m.shape == s.spec(key).fixed and m.size * n <= MAP_LITERALS for m in drawn[key]) for key in self.keys):
+            for key, tables in drawn.items():  # shapes stay: one look-up in the drawn map, and none where it isn't on
+                x, which = F.col(key), F.lit(0) if n == 1 else F.least(F.floor(u * n), F.lit(n - 1)).cast("int")
+                flat = F.array(*[F.array(*[F.lit(int(i)) for i in m.ravel()]) for m in tables])
+                turned = bound(x, partial(_taken, F.get(flat, which)))
+                s = s.with_column(key, F.when(on & x.isNotNull(), turned).otherwise(x), s.spec(key))
+            return s
         for i, fn in enumerate(options):
             chosen = on if n == 1 else on & (F.least(F.floor(u * n), F.lit(n - 1)) == i)
             s = conditionally(s, chosen, one(fn))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 1024
+RANGES = 256
 
 
 def _number(df: DataFrame, bucket: Column, order: list[Column], name: str) -> DataFrame:
@@ -20,12 +21,23 @@ def _number(df: DataFrame, bucket: Column, order: list[Column], name: str) -> Da
 
 
 def dense_index(df: DataFrame, order: str, name: str) -> DataFrame:
-    """Numbers rows by an integer column.  Buckets are equal ranges of it; one small job finds its range."""
-    low, high = df.agg(F.min(order), F.max(order)).first()
-    if low is None:
-        return df.withColumn(name, F.lit(0).cast("long"))
-    width = (high - low) // BUCKETS + 1
-    bucket = F.floor((F.coalesce(F.col(order), F.lit(high)) - low) / width)
+    """Numbers rows by an integer column, nulls last.
+
+    Buckets hold about as many rows each, whatever the ids: one job takes
+    quantiles.  A bucket is found in two steps, among every 16th bound and
+    between two of these.
+    """
+    shares = [k / RANGES for k in range(1, RANGES)]
+    bounds = df.agg(F.percentile_approx(order, shares, 20 * RANGES)).first()[0]
+    if bounds is None:
+        return _number(df, F.lit(0), [F.col(order).asc_nulls_last()], name)
+    bounds, step = sorted(set(bounds)), 16
+    longs = lambda values: F.array(*[F.lit(b).cast("long") for b in values])
+    x, coarse = F.col(order).cast("long"), bounds[step - 1 :: step]
+    fine = F.array(*[longs(bounds[k : k + step - 1]) for k in range(0, len(bounds) + 1, step)])
+    above = lambda held: F.size(F.filter(held, lambda b: b < x))
+    first = above(longs(coarse)) if coarse else F.lit(0)
+    bucket = F.when(x.isNull(), RANGES).otherwise(first * step + above(F.get(fine, first)))
     return _number(df, bucket, [F.col(order).asc_nulls_last()], name)
 
 

@@ -125,6 +125,9 @@ class DataLoader:
             raise TypeError(f"unknown settings: {', '.join(sorted(unknown))}")
         if batch_sampler is not None and (batch_size != 1 or shuffle or sampler is not None or drop_last):
             raise ValueError("a batch sampler excludes batch size, shuffle, sampler and drop_last")
+        given = sorted(k for k, v in worker_settings.items() if v)
+        if given:
+            warnings.warn(f"Spark schedules tasks and seeds draws by sample; without effect: {', '.join(given)}", RuntimeWarning, stacklevel=2)
         if sampler is not None and shuffle:
             raise ValueError("a sampler excludes shuffle")
         if batch_size < 1:
