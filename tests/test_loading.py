@@ -179,3 +179,43 @@ def test_pixel_shuffle_query_keeps_the_values(spark, sf):
 def test_sampler_takes_every_customer(spark, sf):
     test_sql(spark, sf, "sampler")
     assert catalogue.QUERIES["sampler"](spark, sf).count() == spark.read.parquet(f"{sf}/customer.parquet").count()
+
+
+@pytest.mark.parametrize("even", [0, 50_000])
+def test_dense_index_of_uneven_ids(spark, even, monkeypatch):
+    from voxmill.plans import index
+
+    monkeypatch.setattr(index, "EVEN", even)
+    ids = [*range(0, 3000, 3), 10**15, -(2**63), 2**63 - 1, 7, 7, None, None]
+    d = spark.createDataFrame([(i,) for i in ids], "k long")
+    got = sorted(((r["i"], r["k"]) for r in index.dense_index(d, "k", "i").collect()))
+    assert [i for i, _ in got] == list(range(len(ids)))
+    assert [k for _, k in got] == sorted(i for i in ids if i is not None) + [None, None]
+    assert index.dense_index(d.limit(0), "k", "i").isEmpty()
+    assert index.dense_index(d.where("k is null"), "k", "i").count() == 2
+
+
+def test_settings_without_effect_are_named(numbers):
+    with pytest.warns(RuntimeWarning, match="worker_init_fn"):
+        DataLoader(numbers, 2, worker_init_fn=print)
+
+
+def test_norms_of_ragged_samples_keep_to_channels(spark):
+    from voxmill.functions.spec import RAGGED
+    from voxmill.operators.base import Samples
+
+    rows = [(0, ([2, 1, 2], [1.0, 3.0, 10.0, 30.0])), (1, ([1, 1, 3], [5.0, 6.0, 7.0])), (2, None)]
+    d = spark.createDataFrame(rows, "sample_id long, data struct<shape array<int>, data array<double>>")
+    out = {r[0]: r[1] for r in ops.NormMinMax(eps=None)(Samples(d, {"data": RAGGED})).df.select("sample_id", "data").collect()}
+    assert out[0]["data"] == [0.0, 1.0, 0.0, 1.0] and out[1]["data"] == [0.0, 0.5, 1.0] and out[2] is None
+
+
+def test_boxes_of_gaps_nulls_and_borders(spark):
+    from voxmill.operators.base import Samples
+
+    d = spark.createDataFrame([(0, [0, 3, 0, 3, 1, 0]), (1, None), (2, [0] * 6), (3, [-1, 0, 2, 2, 0, 0])], "sample_id long, seg array<long>")
+    s = ops.SegToBox({"seg": "boxes"})(Samples(d, {"seg": TensorSpec((1, 2, 3))}))
+    got = {r[0]: r[1] for r in s.df.select("sample_id", "boxes").collect()}
+    assert got == {0: [[1, 1, 1, 1], None, [0, 0, 1, 1]], 1: None, 2: [], 3: [None, [0, 0, 1, 2]]}
+    back = ops.BoxToSeg({"boxes": "again"}, (2, 3))(s)
+    assert {r[0]: r[1] for r in back.df.select("sample_id", "again").collect()} == {0: [3, 3, 0, 3, 3, 0], 1: None, 2: [0] * 6, 3: [2, 2, 2, 2, 2, 2]}

@@ -168,11 +168,16 @@ MAP_LITERALS = 4096
 _RAGGED_TYPE = T.StructType([T.StructField("shape", T.ArrayType(T.IntegerType())), T.StructField("data", T.ArrayType(T.DoubleType()))])
 
 
+def integers(values: np.ndarray) -> Column:
+    """A constant array; one expression to parse in place of a call to the JVM for each value."""
+    return F.expr(f"array({', '.join(str(int(v)) for v in values.ravel())})")
+
+
 def gather(s: Samples, key: str, index: np.ndarray) -> Samples:
     """out[j] = x[index[j]], the output having the index's shape."""
     spec = TensorSpec(index.shape)
     if index.size <= MAP_LITERALS:
-        x, flat = F.col(key), F.array(*[F.lit(int(i)) for i in index.ravel()])
+        x, flat = F.col(key), integers(index)
         out = F.when(x.isNotNull(), bound(x, lambda v: F.transform(flat, lambda i: F.get(v, i))))
         return s.with_column(key, out, spec)
     return kernel(s, key, lambda x: x.reshape(len(x), -1)[:, index.ravel()].reshape(len(x), *index.shape), spec)
@@ -363,5 +368,5 @@ class BatchTransform(Transform):
 
 __all__ = [
     "RAGGED", "AbstractTransform", "BaseTransform", "BaseTransformSeeded", "BatchTransform", "KeyedTransform", "PerChannelTransform",
-    "PerSampleTransform", "Samples", "Transform", "UDFTransform", "bound", "constant", "elementwise", "gather", "kernel", "list_array", "lists_of", "mapped", "over_batch", "per_channel", "sampled", "values", "with_values",
+    "PerSampleTransform", "Samples", "Transform", "UDFTransform", "bound", "constant", "elementwise", "gather", "integers", "kernel", "list_array", "lists_of", "mapped", "over_batch", "per_channel", "sampled", "values", "with_values",
 ]

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions import gather as maps
 from ..functions.spec import RAGGED, TensorSpec
-from .base import KeyedTransform, Samples, Transform, bound, gather, kernel, lists_of, mapped, to_list_array, values, with_values
+from .base import KeyedTransform, Samples, Transform, bound, gather, integers, kernel, lists_of, mapped, to_list_array, values, with_values
 
 _INTEGERS = (T.LongType, T.IntegerType, T.ShortType, T.ByteType)
 
@@ -68,7 +68,7 @@ class ArgMax(KeyedTransform):
         shape = index.shape[:-1]
         out = TensorSpec(shape if not self.keepdim else tuple(1 if i == self.dim % len(spec.fixed) else n for i, n in enumerate(spec.fixed)))
         n, step = index.shape[-1], int(index.reshape(-1, index.shape[-1])[0, 1] - index.reshape(-1, index.shape[-1])[0, 0]) if index.shape[-1] > 1 else 1
-        starts = F.array(*[F.lit(int(i)) for i in index[..., 0].ravel()])
+        starts = integers(index[..., 0])
         x = F.col(key)
 
         def all_best(y: Column) -> Column:

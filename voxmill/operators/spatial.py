@@ -14,7 +14,7 @@ from ..functions import gather as maps
 from ..functions import kernels
 from ..functions.rng import AbstractParameter, UniformParameter
 from ..functions.spec import RAGGED, TensorSpec, per_dim
-from .base import MAP_LITERALS, KeyedTransform, Samples, bound, constant, elementwise, gather, kernel, over_batch, sampled
+from .base import MAP_LITERALS, KeyedTransform, Samples, bound, constant, elementwise, gather, integers, kernel, over_batch, sampled
 from .compose import conditionally
 
 
@@ -61,7 +61,7 @@ class _RandomGather(KeyedTransform):
         if all(key in drawn and all(m.shape == s.spec(key).fixed and m.size * n <= MAP_LITERALS for m in drawn[key]) for key in self.keys):
             for key, tables in drawn.items():  # shapes stay: one look-up in the drawn map, and none where it isn't on
                 x, which = F.col(key), F.lit(0) if n == 1 else F.least(F.floor(u * n), F.lit(n - 1)).cast("int")
-                flat = F.array(*[F.array(*[F.lit(int(i)) for i in m.ravel()]) for m in tables])
+                flat = F.array(*[integers(m) for m in tables])
                 turned = bound(x, partial(_taken, F.get(flat, which)))
                 s = s.with_column(key, F.when(on & x.isNotNull(), turned).otherwise(x), s.spec(key))
             return s
@@ -286,7 +286,7 @@ class RandomCrop(KeyedTransform):
             stride = int(np.prod(spec.spatial[d + 1 :], dtype=int))
             at = at + F.floor(s.draws(op).column(d) * (n - c - o)).cast("int") * stride
         base = maps.crop(spec, (0,) * spec.ndim, size)
-        flat, x = F.array(*[F.lit(int(i)) for i in base.ravel()]), F.col(key)
+        flat, x = integers(base), F.col(key)
         out = F.when(x.isNotNull(), bound(x, lambda v: F.transform(flat, lambda i: F.get(v, i + at))))
         return s.with_column(key, out, TensorSpec(base.shape))
 
