@@ -367,6 +367,12 @@ def on_volumes(name: str, make: Callable[[], Callable], side: int) -> None:
 
 
 on_volumes("local_pixel_shuffle", lambda: ops.LocalPixelShuffle(), 30)
+#: Whatever is drawn, a volume keeps its values.
+ORACLE_SQL["local_pixel_shuffle"] = f"""
+WITH a AS (SELECT vec_id, e, (row_number() OVER (ORDER BY vec_id, pos) - 1)::BIGINT AS i FROM {X}),
+v AS (SELECT i // 27000 AS k, min(vec_id) AS vec_id, count(*) AS c, sum(e) AS all_ FROM a GROUP BY 1)
+SELECT v.vec_id, 27000 AS n, round(any_value(all_) * (27000 // any_value(c)) + coalesce(sum(e) FILTER (i % 27000 < 27000 % c), 0), 6) AS total
+FROM v JOIN a ON i // 27000 = k GROUP BY v.vec_id, k"""
 on_volumes("random_inpainting", lambda: ops.RandomInpainting(), 16)
 on_volumes("random_outpainting", lambda: ops.RandomOutpainting(1.0), 36)
 on_volumes("random_in_or_outpainting", lambda: ops.RandomInOrOutpainting(), 36)
