@@ -8,7 +8,7 @@ node that reaches it gives the node of greatest sum within it.
 
 Menus, footers, scripts and the like go by their tags.  Names (class, id, role)
 only weigh: in the sums, what is within an element that names itself a notice,
-an advert or comments counts for a tenth.  So a name alone never takes the text
+an advert or comments counts for a fifth.  So a name alone never takes the text
 away that density finds; what is named so and isn't around the node of the
 greatest sum is left out.
 """
@@ -74,7 +74,7 @@ _KEEP_TAGS = frozenset("html body main article".split())
 _HIDDEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 _LINKED = frozenset(["a", "button", "select"])
 #: What the text in an element that is named as something else counts for in the sums.
-WEIGHT = 0.1
+WEIGHT = 0.2
 
 
 class Node:
