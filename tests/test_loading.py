@@ -219,3 +219,42 @@ def test_boxes_of_gaps_nulls_and_borders(spark):
     assert got == {0: [[1, 1, 1, 1], None, [0, 0, 1, 1]], 1: None, 2: [], 3: [None, [0, 0, 1, 2]]}
     back = ops.BoxToSeg({"boxes": "again"}, (2, 3))(s)
     assert {r[0]: r[1] for r in back.df.select("sample_id", "again").collect()} == {0: [3, 3, 0, 3, 3, 0], 1: None, 2: [0] * 6, 3: [2, 2, 2, 2, 2, 2]}
+
+
+def test_transform_call_by_the_kind_of_its_input():
+    from voxmill.plans.loader import default_transform_call
+
+    assert default_transform_call({"a": 1, "b": 2}, lambda a, b: a + b) == 3
+    assert default_transform_call([1, 2], lambda a, b: a - b) == -1 and default_transform_call((4,), lambda a: a) == 4
+    assert default_transform_call("ab", len) == 2
+
+
+def test_transformers_can_be_replaced(numbers):
+    made = []
+
+    class Own(DataLoader):
+        def get_batch_transformer(self, *a, **k):
+            made.append("batch")
+            return super().get_batch_transformer(*a, **k)
+
+        def get_sample_transformer(self, *a, **k):
+            made.append("sample")
+            return super().get_sample_transformer(*a, **k)
+
+    assert Own(numbers, 4).batches().count() == 3 and sorted(made) == ["batch", "sample"]
+
+
+def test_registered_samplers_are_drawn(spark, sf):
+    from voxmill.functions.rng import UniformParameter
+    from voxmill.operators.intensity import add_value
+
+    s = catalogue.batched(spark, sf)
+    t = ops.BaseTransform(add_value, name="add")
+    t.register_sampler("value", UniformParameter(1, 2))
+    with pytest.raises(NameError):
+        t.register_sampler("value", 1)
+    same = ops.BaseTransform(add_value, name="add", value=UniformParameter(1, 2))
+    assert t(s).df.exceptAll(same(s).df).isEmpty()
+    before = {r[0]: r[1] for r in s.df.select("sample_id", "data").collect()}
+    moved = [r[1][0] - before[r[0]][0] for r in t(s).df.select("sample_id", "data").collect()]
+    assert all(1 <= m <= 2 for m in moved) and len({round(m, 4) for m in moved}) > 1

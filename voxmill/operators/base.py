@@ -286,6 +286,12 @@ class BaseTransform(KeyedTransform):
         super().__init__(keys, name)
         self.augment, self.batch, self.scope, self.params = augment, batch, scope, params
 
+    def register_sampler(self, name: str, sampler) -> None:
+        """Makes ``name`` a parameter of augment that is drawn; a name that is taken raises."""
+        if name in self.params:
+            raise NameError(f"{name} is a parameter already")
+        self.params[name] = as_parameter(sampler)
+
     def drawn(self, s: Samples, op: str) -> dict[str, Column]:
         draws, out, first = s.draws(op, self.scope), {}, 0
         for k, v in self.params.items():

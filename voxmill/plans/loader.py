@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import warnings
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import replace
 
 import pandas as pd
@@ -18,7 +18,12 @@ from ..sources.dataset import Dataset
 from .index import shuffled_index
 
 
-def default_transform_call(samples: Samples, transform: Callable) -> Samples:
+def default_transform_call(samples, transform: Callable):
+    """Samples go as they are, a mapping as keywords, a list or tuple as arguments, anything else alone."""
+    if isinstance(samples, Mapping):
+        return transform(**samples)
+    if isinstance(samples, (list, tuple)):
+        return transform(*samples)
     return transform(samples)
 
 
@@ -136,10 +141,18 @@ class DataLoader:
             warnings.warn("no devices here; these transforms follow the batch transforms", RuntimeWarning, stacklevel=2)
         self.dataset, self.batch_size, self.shuffle, self.drop_last, self.seed, self.epoch = dataset, batch_size, shuffle, drop_last, seed, 0
         self.sampler, self.batch_sampler = sampler, batch_sampler
-        self.sample_stage = SampleTransformer(dataset, sample_transforms, pseudo_batch_dim, transform_call)
+        self.sample_stage = self.get_sample_transformer(dataset, sample_transforms, pseudo_batch_dim, transform_call)
         stages = [t for t in (batch_transforms, gpu_transforms) if t is not None]
         flat = [x for t in stages for x in (t if isinstance(t, (list, tuple)) else [t])]
-        self.batch_stage = BatchTransformer(collate_fn, flat or None, auto_convert, transform_call)
+        self.batch_stage = self.get_batch_transformer(collate_fn, flat or None, auto_convert, transform_call)
+
+    def get_batch_transformer(self, collate_fn: Callable | None = None, transforms=None, auto_convert: bool = True, transform_call: Callable = default_transform_call) -> BatchTransformer:
+        """What collates and transforms batches; a subclass may make another."""
+        return BatchTransformer(collate_fn, transforms, auto_convert, transform_call)
+
+    def get_sample_transformer(self, dataset: Dataset, transforms=None, pseudo_batch_dim: bool = False, transform_call: Callable = default_transform_call) -> SampleTransformer:
+        """What transforms samples; a subclass may make another."""
+        return SampleTransformer(dataset, transforms, pseudo_batch_dim, transform_call)
 
     def set_epoch(self, epoch: int) -> DataLoader:
         """Shuffles and draws of later plans depend on it."""
