@@ -130,7 +130,7 @@ def _width(kind: T.DataType, c: Column) -> Column:
 def fits(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
     """Whether df has at most so many rows and bytes; reads no further than it must."""
     wide = sum((_width(f.dataType, F.col(f"`{f.name}`")) for f in df.schema.fields), F.lit(8)).cast("long")
-    n, b = df.limit(rows + 1).select(wide.alias("b")).agg(F.count("b"), F.coalesce(F.sum("b"), F.lit(0))).first()
+    n, b = df.select(wide.alias("b")).limit(rows + 1).agg(F.count("b"), F.coalesce(F.sum("b"), F.lit(0))).first()
     return n <= rows and b <= size
 
 
