@@ -161,6 +161,33 @@ def test_crossparse_meets_all_other_text(spark):
     assert len({r["shard"] for r in out.values()}) > 3
 
 
+def test_crossparse_keeps_long_phrases_whole(spark):
+    rng = random.Random(8)
+    text = "".join(rng.choices("abcdefé ", k=1500))
+    docs = [(1, text), (2, text), (3, text[:700] + "#" + text[701:])]
+    out = {r["id"]: r["phrases"] for r in crossparse.entropies(spark.createDataFrame(docs, "doc_id long, text string"), passage=40, shard=200).collect()}
+    assert out == {1: 1, 2: 1, 3: 3}
+
+
+def test_crossparse_in_parts(spark):
+    rng = random.Random(9)
+    docs = [(i, "".join(rng.choices("abcdé ", k=rng.randint(0, 120)))) for i in range(25)]
+    docs += [(30, docs[3][1]), (31, "zz" + docs[4][1] + docs[5][1]), (None, docs[6][1][:50] + "ü" + docs[6][1]), (7, docs[9][1]), (32, ""), (33, None)]
+    got = crossparse.entropies(spark.createDataFrame(docs, "doc_id long, text string"), texts=500, keys=100, rounds=3).collect()
+
+    def phrases(d, text):
+        other, n, i = [t or "" for e, t in docs if e != d], 0, 0
+        while i < len(text):
+            j = i + 1
+            while j <= len(text) and any(text[i:j] in t for t in other):
+                j += 1
+            i, n = max(i + 1, j - 1), n + 1
+        return n
+
+    want = sorted((str(d), len(t or ""), phrases(d, t or "")) for d, t in docs)
+    assert sorted((str(r["id"]), r["n_chars"], r["phrases"]) for r in got) == want
+
+
 def test_language_accuracy_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     out = langid.op1_langid(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").toPandas()
