@@ -188,6 +188,32 @@ def test_crossparse_in_parts(spark):
     assert sorted((str(r["id"]), r["n_chars"], r["phrases"]) for r in got) == want
 
 
+def test_crossparse_settles_patchwork_in_few_turns(spark, monkeypatch):
+    rng = random.Random(10)
+    base = ["".join(rng.choices("abcdefgh ", k=900)) for _ in range(8)]
+    docs = list(enumerate(base))
+    for i in range(8, 16):  # passages whose starts overlap, so that one longest match leads to the next
+        text = ""
+        for _ in range(25):
+            b, a = rng.choice(base), rng.randrange(800)
+            text += b[a : a + rng.randint(40, 100)]
+        docs += [(i, text), (i + 100, text[:700] + "#" + text[700:])]
+    docs += [(300 + i, base[i % 2]) for i in range(20)]
+    names = []
+    scratch = crossparse.scratch
+    monkeypatch.setattr(crossparse, "scratch", lambda s, name: names.append(name) or scratch(s, name))
+    got = {r["id"]: r["phrases"] for r in crossparse.entropies(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for d, text in docs:
+        other, n, i = [t for e, t in docs if e != d], 0, 0
+        while i < len(text):
+            j = i + 1
+            while j <= len(text) and any(text[i:j] in t for t in other):
+                j += 1
+            i, n = max(i + 1, j - 1), n + 1
+        assert got[d] == n
+    assert names.count("asked") <= 3
+
+
 def test_language_accuracy_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     out = langid.op1_langid(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").toPandas()
