@@ -214,6 +214,36 @@ def test_crossparse_settles_patchwork_in_few_turns(spark, monkeypatch):
     assert names.count("asked") <= 3
 
 
+def test_crossparse_turns_leave_what_is_settled(spark, monkeypatch):
+    rng = random.Random(11)
+    base = "".join(rng.choices("abcdefgh ", k=900))
+    text = "x" + base[100:400] + "y" + base[500:800]
+    paths = []
+    scratch = crossparse.scratch
+    monkeypatch.setattr(crossparse, "scratch", lambda s, name: paths.append((name, scratch(s, name))) or paths[-1][1])
+    docs = spark.createDataFrame([(1, base), (2, base), (3, text)], "doc_id long, text string")
+    got = {r["id"]: r["phrases"] for r in crossparse.entropies(docs).collect()}
+    assert got == {1: 1, 2: 1, 3: 4}
+    # base is one phrase at once: its places are compared with, but no longer looked for
+    pos = [r["pos"] for name, path in paths if name == "pins" for r in spark.read.parquet(path).collect()]
+    assert pos and max(pos) - min(pos) < len(text)
+    # keys are made once; what they are made of isn't kept, or read in the turns
+    texts = spark.read.parquet(next(path for name, path in paths if name == "texts"))
+    assert texts.where("bits is not null").isEmpty() and not texts.isEmpty()
+
+
+def test_crossparse_bounds():
+    rng = random.Random(12)
+    for _ in range(100):
+        n = rng.randint(1, 12)
+        end = np.sort(np.array([rng.randint(0, 20) for _ in range(n)]))
+        unknown = np.array([i for i in range(n) if rng.random() < 0.5], np.int64)
+        stop = np.array([rng.randint(0, 25) for _ in unknown], np.int64)
+        known = [i for i in range(n) if i not in unknown]
+        want = [(max([end[k] for k in known if k < i], default=0), min([end[k] for k in known if k > i] + [z])) for i, z in zip(unknown, stop)]
+        assert list(zip(*crossparse.bounds(unknown, end, stop))) == want
+
+
 def test_language_accuracy_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     out = langid.op1_langid(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").toPandas()
